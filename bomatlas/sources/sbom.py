@@ -144,10 +144,13 @@ def first_license(licenses: Column) -> Column:
     return blank_to_null(F.get(licenses, F.lit(0))["license"]["id"])
 
 
-def explode_libraries(components: DataFrame, feed: DataFrame | None = None) -> DataFrame:
+def explode_libraries(
+    components: DataFrame, feed: DataFrame | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per (repository, library) with a package URL, before any parsing.
 
-    Columns: repo_full_name, org, repo, repo_url, pushed_at, purl, version_raw, license_id.
+    Columns: repo_full_name, org, repo, repo_url, pushed_at, purl, version_raw, license_id,
+    and the component columns named in ``keep``.
     The repository is joined before the explode, so the lookup touches one row per
     repository rather than one per library.
     """
@@ -174,7 +177,13 @@ def explode_libraries(components: DataFrame, feed: DataFrame | None = None) -> D
         )
     return (
         named.select(
-            "repo_full_name", "org", "repo", "repo_url", "pushed_at", F.explode("components").alias("lib")
+            "repo_full_name",
+            "org",
+            "repo",
+            "repo_url",
+            "pushed_at",
+            *keep,
+            F.explode("components").alias("lib"),
         )
         .where(F.startswith(F.col("lib.purl"), F.lit("pkg:")))
         .select(
@@ -186,6 +195,7 @@ def explode_libraries(components: DataFrame, feed: DataFrame | None = None) -> D
             F.col("lib.purl").alias("purl"),
             F.col("lib.version").alias("version_raw"),
             first_license(F.col("lib.licenses")).alias("license_id"),
+            *keep,
         )
     )
 
