@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomatlas.functions.text import percent_decode
+from bomatlas.functions.text import percent_decode, split_once
 
 # Fixed value: the ecosystems the index knows.
 KNOWN_ECOSYSTEMS = (
@@ -50,47 +50,44 @@ def package_keys_any_ecosystem(name: str) -> list[str]:
     return sorted({package_key_text(eco, name) for eco in KNOWN_ECOSYSTEMS} | {name.lower()})
 
 
-def parse_purl(purl: Column) -> Column:
-    """Struct ``(ecosystem, package_name, version)``; NULL when not a package URL.
-
-    The version follows the last ``@`` (an encoded scope has no literal one) and is
-    ``''`` when absent; the type ends at the first ``/``.
-    """
-    body = F.regexp_extract(purl, r"^pkg:([^#?]*)", 1)
-    named = F.regexp_replace(body, r"@[^@]*$", "")
-    version = F.regexp_extract(body, r"@([^@]*)$", 1)
-    return F.when(
-        F.startswith(purl, F.lit("pkg:")),
-        F.struct(
-            F.lower(percent_decode(F.substring_index(named, "/", 1))).alias("ecosystem"),
-            percent_decode(F.regexp_extract(named, r"^[^/]*/([\s\S]*)$", 1)).alias("package_name"),
-            percent_decode(version).alias("version"),
-        ),
-    )
-
-
 def with_purl_columns(df: DataFrame, purl: str = "purl") -> DataFrame:
     """Add ecosystem, package_name, package_key, purl_version and the two type flags.
 
-    Rows whose purl is missing or not a package URL are dropped.
+    Rows whose purl is missing or not a package URL are dropped. The version follows the
+    last ``@`` (an encoded scope has no literal one) and is ``''`` when absent; the type
+    ends at the first ``/``.
     """
-    parsed = df.where(F.startswith(F.col(purl), F.lit("pkg:"))).withColumn(
-        "_purl", parse_purl(F.col(purl))
+    version = F.col("purl_version")
+    bodies = df.where(F.startswith(F.col(purl), F.lit("pkg:"))).withColumn(
+        "_body",
+        F.substring_index(F.substring_index(F.substring(F.col(purl), 5, 1 << 30), "#", 1), "?", 1),
     )
-    return (
-        parsed.withColumns(
-            {
-                "ecosystem": F.col("_purl.ecosystem"),
-                "package_name": F.col("_purl.package_name"),
-                "purl_version": F.col("_purl.version"),
-            }
-        )
-        .drop("_purl")
+    # Each step reads columns of the step before, so that nothing is cut out twice.
+    split_up = bodies.withColumn(
+        "purl_version",
+        F.when(F.contains("_body", F.lit("@")), F.substring_index("_body", "@", -1)),
+    ).withColumn(
+        "_named",
+        F.when(version.isNull(), F.col("_body")).otherwise(
+            F.left("_body", F.length("_body") - F.length(version) - F.lit(1))
+        ),
+    )
+    ecosystem, name = split_once(F.col("_named"), "/")
+    decoded = (
+        split_up.withColumns({"ecosystem": ecosystem, "package_name": name})
         .withColumns(
             {
-                "package_key": package_key(F.col("ecosystem"), F.col("package_name")),
-                "is_self_ref": F.col("ecosystem") == SELF_REF_ECOSYSTEM,
-                "is_action": F.col("ecosystem") == ACTION_ECOSYSTEM,
+                "ecosystem": F.lower(percent_decode(F.col("ecosystem"))),
+                "package_name": percent_decode(F.col("package_name")),
+                "purl_version": percent_decode(F.coalesce(version, F.lit(""))),
             }
         )
+        .drop("_body", "_named")
+    )
+    return decoded.withColumns(
+        {
+            "package_key": package_key(F.col("ecosystem"), F.col("package_name")),
+            "is_self_ref": F.col("ecosystem") == SELF_REF_ECOSYSTEM,
+            "is_action": F.col("ecosystem") == ACTION_ECOSYSTEM,
+        }
     )

@@ -15,6 +15,12 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def split_once(text: Column, mark: str) -> tuple[Column, Column]:
+    """What comes before and after the first ``mark``; nothing after if there is none."""
+    before = F.substring_index(text, mark, 1)
+    return before, F.substring(text, F.length(before) + F.lit(1 + len(mark)), F.lit(1 << 30))
+
+
 def percent_decode(text: Column) -> Column:
     """Lenient ``%XX`` decoding: ``+`` stays a plus, a bad escape stays as written.
 

@@ -213,9 +213,6 @@ def with_version_columns(
             "_epoch": F.when(F.col("_epoch").rlike(r"^[0-9]+$"), F.col("_epoch")).otherwise("0"),
         }
     )
-    # The result leaves through a one-row generator. Without it the optimizer would push a
-    # later filter on, say, version_kind down through every projection above, writing out
-    # each of their expressions again at each use.
     outputs = {
         "comparable": F.col("comparable"),
         "version_kind": F.coalesce(
@@ -244,8 +241,11 @@ def with_version_columns(
             ),
         ),
     }
-    scratch = ("_eco", "_text", "_plain", "_early", "_bare", "_scheme", "_epoch", "_release")
-    kept = [c for c in df.columns if c not in (*scratch, "_parts", "_rest", "_pre", "comparable")]
-    return df.select(
-        *kept, F.inline(F.array(F.struct(*[value.alias(name) for name, value in outputs.items()])))
-    )
+    scratch = {"_eco", "_text", "_plain", "_early", "_bare", "_scheme", "_epoch", "_release"}
+    kept = [c for c in df.columns if c not in scratch | {"_parts", "_rest", "_pre", *outputs}]
+    df = df.select(*kept, *[value.alias(f"_{name}") for name, value in outputs.items()])
+    # The columns leave through a one-row generator. Without it the optimizer would push a
+    # later filter on, say, version_kind down through every projection above, writing out
+    # each of their expressions again at each use.
+    row = F.struct(*[F.col(f"_{name}").alias(name) for name in outputs])
+    return df.select(*kept, F.inline(F.array(row)))

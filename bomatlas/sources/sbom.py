@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bomatlas.functions.purl import with_purl_columns
-from bomatlas.functions.text import blank_to_null
+from bomatlas.functions.text import blank_to_null, split_once
 from bomatlas.functions.versions import with_version_columns
 
 # Column widths of the index.
@@ -154,13 +154,14 @@ def explode_libraries(
     The repository is joined before the explode, so the lookup touches one row per
     repository rather than one per library.
     """
+    org, repo = split_once(F.col("repo_full_name"), "/")
     named = (
         components.where(F.contains(F.col("name"), F.lit("/")))
         .withColumnRenamed("name", "repo_full_name")
         .withColumns(
             {
-                "org": F.regexp_extract("repo_full_name", r"^([^/]*)/([\s\S]*)$", 1),
-                "repo": F.regexp_extract("repo_full_name", r"^([^/]*)/([\s\S]*)$", 2),
+                "org": org,
+                "repo": repo,
                 "_vcs": F.coalesce(
                     vcs_url(F.col("externalReferences")),
                     F.concat(F.lit("https://github.com/"), F.col("repo_full_name")),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from bomatlas.plans.index import DependencyIndex, open_index, publish
 from bomatlas.session import apply_settings, run_path
 from bomatlas.sources.feed import normalise_feed
-from bomatlas.sources.sbom import explode_libraries, to_fact
+from bomatlas.functions.text import split_once
+from bomatlas.sources.sbom import explode_libraries, join_repo_metadata, to_fact
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -200,8 +201,19 @@ def for_duckdb(text: str) -> str:
     return text
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, LINES_SQL)
+    """The derived lines, landed once as Parquet like any delivered source."""
+    apply_settings(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        path = run_path(spark, "landed")
+        spread = spark.sparkContext.defaultParallelism
+        derive(spark, sf_dir, LINES_SQL).repartition(spread).write.parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,10 +276,27 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exploded_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table by way of the nested bills of materials."""
+    looked_up = normalise_feed(feed(spark, sf_dir))
+    libraries = explode_libraries(components(spark, sf_dir), looked_up, ("ingested_date",))
+    return to_fact(libraries, F.col("ingested_date"))
+
+
 def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table computed from the nested bills of materials; nothing is stored."""
-    nested = components(spark, sf_dir)
-    libraries = explode_libraries(nested, normalise_feed(feed(spark, sf_dir)), ("ingested_date",))
+    """The same rows out of the flat lines, which already are one library each."""
+    org, repo = split_once(F.col("repo_full_name"), "/")
+    named = lines(spark, sf_dir).select(
+        "repo_full_name",
+        org.alias("org"),
+        repo.alias("repo"),
+        F.coalesce("vcs_url", F.concat(F.lit("https://github.com/"), "repo_full_name")).alias("_vcs"),
+        "purl",
+        F.col("version_field").alias("version_raw"),
+        "license_id",
+        "ingested_date",
+    )
+    libraries = join_repo_metadata(named, normalise_feed(feed(spark, sf_dir)))
     return to_fact(libraries, F.col("ingested_date"))
 
 
