@@ -156,7 +156,7 @@ FROM (
 
 # Calls of the search service out of the event log.
 CALLS_SQL = r"""
-SELECT event_id, user_id, ts, value * 10 AS duration_ms, event_type = 'error' AS is_error,
+SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts, value * 10 AS duration_ms, event_type = 'error' AS is_error,
   CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'VALIDATION_ERROR'
     WHEN 1 THEN 'SEARCH_TIMEOUT' ELSE 'SERVICE_ERROR' END END AS error_type,
   CASE WHEN event_type <> 'signup' THEN event_id % 20 <> 0 END AS cache_hit,
@@ -192,7 +192,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derive(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
     """Run one of the texts above over the driver's tables."""
     named = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text.replace('"pushedAt"', "pushedAt"), **named, **frames)
+    text = text.replace('"pushedAt"', "pushedAt").replace("{", "{{").replace("}", "}}")
+    for name in (*named, *frames):
+        text = text.replace("{{" + name + "}}", "{" + name + "}")
+    return spark.sql(text, **named, **frames)
 
 
 def for_duckdb(text: str) -> str:
