@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomatlas.operators import summaries
 from bomatlas.sources import tables
+from bomatlas.sources.sbom import to_fact
 
 
 @dataclass(frozen=True)
@@ -39,13 +40,16 @@ def _summary_path(base: str, name: str, date: str) -> str:
     return f"{base}/{name}/{date}"
 
 
-def publish(spark: SparkSession, fact: DataFrame, base: str, date: str) -> DependencyIndex:
-    """Store the snapshots in ``fact`` and serve the one of ``date``.
+def publish(
+    spark: SparkSession, libraries: DataFrame, ingested_date: Column, base: str, date: str
+) -> DependencyIndex:
+    """Store the snapshots of exploded ``libraries`` and serve the one of ``date``.
 
     Summaries are built from the stored partition and written before the view moves, so
     a job that dies on the way leaves yesterday's answers in place.
     """
-    tables.write_snapshot(fact, _fact_path(base))
+    fact = to_fact(libraries, ingested_date, layout=tables.clustered)
+    tables.write_snapshot(fact, _fact_path(base), laid_out=True)
     stored = tables.snapshot(spark, _fact_path(base), date)
     for name, build in _SUMMARIES.items():
         build(stored).write.mode("overwrite").parquet(_summary_path(base, name, date))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -240,23 +242,36 @@ FACT_COLUMNS = (
 )
 
 
-def to_fact(libraries: DataFrame, ingested_date: Column) -> DataFrame:
+def to_fact(
+    libraries: DataFrame,
+    ingested_date: Column,
+    layout: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The 20 columns of the fact table out of :func:`explode_libraries` rows.
 
     The component's own version wins over the one inside the purl, and is classified
     whole before it is cut to the column width.
+
+    ``layout`` arranges the rows once the package columns are there and before versions
+    are classified. A range layout reads its input twice, first for a sample, and moves
+    all columns; at this point both are cheaper than on the finished rows.
     """
-    parsed = with_purl_columns(libraries).withColumn(
-        "version_raw",
-        F.coalesce(blank_to_null(F.col("version_raw")), F.col("purl_version"), F.lit("")),
+    parsed = with_purl_columns(libraries).withColumns(
+        {
+            "version_raw": F.coalesce(
+                blank_to_null(F.col("version_raw")), F.col("purl_version"), F.lit("")
+            ),
+            "ingested_date": ingested_date,
+        }
     )
+    if layout is not None:
+        parsed = layout(parsed.drop("purl_version"))
     return (
         with_version_columns(parsed)
         .withColumns(
             {
                 "purl": F.substring("purl", 1, MAX_PURL_CHARS),
                 "version_raw": F.substring("version_raw", 1, MAX_VERSION_CHARS),
-                "ingested_date": ingested_date,
             }
         )
         .select(*FACT_COLUMNS)

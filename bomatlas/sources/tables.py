@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,29 +31,35 @@ FACT_SCHEMA = T.StructType(
 
 
 def enforce_schema(fact: DataFrame) -> DataFrame:
-    """Exactly the 20 columns with their types; a NULL in a required one fails the job."""
+    """Exactly the 20 columns with their types; a NULL in a required one fails the job.
+
+    Columns of the right type pass through untouched, so the sort order of the rows is
+    still known to the writer.
+    """
     extra = set(fact.columns) - set(FACT_COLUMNS)
     missing = set(FACT_COLUMNS) - set(fact.columns)
     if extra or missing:
         raise ValueError(f"unknown columns {sorted(extra)}, missing columns {sorted(missing)}")
-    columns = []
-    for field in FACT_SCHEMA:
-        value = F.col(field.name).cast(field.dataType)
-        if not field.nullable:
-            problem = F.raise_error(F.lit(f"NULL in required column {field.name}"))
-            value = F.coalesce(value, problem.cast(field.dataType))
-        columns.append(value.alias(field.name))
-    return fact.select(*columns)
-
-
-def clustered(fact: DataFrame) -> DataFrame:
+    given = {field.name: field.dataType for field in fact.schema}
+    required = [F.col(field.name).isNotNull() for field in FACT_SCHEMA if not field.nullable]
+    complete = reduce(lambda a, b: a & b, required)
+    problem = F.raise_error(F.lit("NULL in a required column of the fact table"))
+    return fact.select(
+        *[
+            F.col(f.name) if given[f.name] == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name)
+            for f in FACT_SCHEMA
+        ]
+    ).where(F.when(complete, F.lit(True)).otherwise(problem.cast("boolean")))
+
+
+def clustered(rows: DataFrame) -> DataFrame:
     """Rows laid out by snapshot and package, so min/max statistics prune package reads.
 
     The repository is part of the range key: a package with a third of all rows is
     spread over as many files as its size asks for.
     """
     order = ["ingested_date", "ecosystem", "package_key", "repo_full_name"]
-    return fact.repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def clustered_by_repo(by_repo: DataFrame) -> DataFrame:
@@ -59,10 +67,14 @@ def clustered_by_repo(by_repo: DataFrame) -> DataFrame:
     return by_repo.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def write_snapshot(fact: DataFrame, path: str) -> None:
-    """Replace exactly the date partitions that occur in ``fact``; running twice is safe."""
+def write_snapshot(fact: DataFrame, path: str, laid_out: bool = False) -> None:
+    """Replace exactly the date partitions that occur in ``fact``; running twice is safe.
+
+    ``laid_out`` says that the rows are clustered already.
+    """
+    checked = enforce_schema(fact)
     (
-        clustered(enforce_schema(fact))
+        (checked if laid_out else clustered(checked))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ingested_date")

@@ -140,19 +140,17 @@ SELECT product, cycle,
     WHEN 3 THEN 'false' WHEN 4 THEN 'unknown' END AS eol,
   concat(cycle, '.9') AS latest
 FROM (
-  SELECT DISTINCT product, CAST(l_linenumber AS STRING) AS cycle, l_linenumber AS size
-  FROM {lineitem} CROSS JOIN_PRODUCTS
-  UNION ALL
-  SELECT DISTINCT product, concat(CAST(l_linenumber AS STRING), '.', CAST(CAST(floor(l_quantity) AS INT) AS STRING)) AS cycle,
-    l_linenumber + CAST(floor(l_quantity) AS INT) AS size
-  FROM {lineitem} CROSS JOIN_PRODUCTS
-  WHERE l_linenumber <= 2
+  SELECT explode_products AS product, cycle, size FROM (
+    SELECT DISTINCT CAST(l_linenumber AS STRING) AS cycle, l_linenumber AS size FROM {lineitem}
+    UNION ALL
+    SELECT DISTINCT concat(CAST(l_linenumber AS STRING), '.', CAST(CAST(floor(l_quantity) AS INT) AS STRING)) AS cycle,
+      l_linenumber + CAST(floor(l_quantity) AS INT) AS size
+    FROM {lineitem} WHERE l_linenumber <= 2
+  ) numbers
 ) cycles
-""".replace(
-    "CROSS JOIN_PRODUCTS",
-    "JOIN (VALUES ('express'), ('vue'), ('nextjs'), ('angular'), ('django'), ('rails'), "
-    "('spring-framework')) AS products(product) ON TRUE",
-)
+"""
+_PRODUCTS = "'express', 'vue', 'nextjs', 'angular', 'django', 'rails', 'spring-framework'"
+
 
 # Calls of the search service out of the event log.
 CALLS_SQL = r"""
@@ -185,8 +183,21 @@ FROM {documents}
 """
 
 
+# Tables whose rows cost much to process.
+_HEAVY = {"documents", "embeddings", "lineitem", "events"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables.
+
+    A heavy table that comes as fewer splits than there are cores is spread out. At scale
+    the splits outnumber the cores and nothing is shuffled.
+    """
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _HEAVY and len(frame.inputFiles()) < cores and frame.rdd.getNumPartitions() < cores:
+        return frame.repartition(cores)
+    return frame
 
 
 def derive(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
@@ -199,6 +210,7 @@ def derive(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) ->
 
 
 def for_duckdb(text: str) -> str:
+    text = text.replace("explode_products", f"unnest([{_PRODUCTS}])")
     for name in (*TABLES, "packages"):
         text = text.replace("{" + name + "}", name)
     return text
@@ -253,7 +265,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eol_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, EOL_SQL)
+    return derive(spark, sf_dir, EOL_SQL.replace("explode_products", f"explode(array({_PRODUCTS}))"))
 
 
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,12 +294,12 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exploded_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table by way of the nested bills of materials."""
     looked_up = normalise_feed(feed(spark, sf_dir))
-    libraries = explode_libraries(components(spark, sf_dir), looked_up, ("ingested_date",))
-    return to_fact(libraries, F.col("ingested_date"))
+    exploded = explode_libraries(components(spark, sf_dir), looked_up, ("ingested_date",))
+    return to_fact(exploded, F.col("ingested_date"))
 
 
-def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows out of the flat lines, which already are one library each."""
+def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat lines, which already are one library each, with the feed looked up."""
     org, repo = split_once(F.col("repo_full_name"), "/")
     named = lines(spark, sf_dir).select(
         "repo_full_name",
@@ -299,8 +311,7 @@ def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "license_id",
         "ingested_date",
     )
-    libraries = join_repo_metadata(named, normalise_feed(feed(spark, sf_dir)))
-    return to_fact(libraries, F.col("ingested_date"))
+    return join_repo_metadata(named, normalise_feed(feed(spark, sf_dir)))
 
 
 _INDEXES: dict[tuple[str, str], tuple[str, str]] = {}
@@ -315,7 +326,7 @@ def index(spark: SparkSession, sf_dir: str) -> DependencyIndex:
         newest = derive(
             spark, sf_dir, "SELECT CAST(CAST(date_trunc('year', max(l_shipdate)) AS DATE) AS STRING) AS d FROM {lineitem}"
         ).first()["d"]
-        publish(spark, fact_rows(spark, sf_dir), base, newest)
+        publish(spark, libraries(spark, sf_dir), F.col("ingested_date"), base, newest)
         _INDEXES[key] = (base, newest)
     return open_index(spark, *_INDEXES[key])
 
