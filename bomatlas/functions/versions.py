@@ -95,7 +95,9 @@ def _release_part(parts: Column) -> Column:
     return F.concat_ws(
         ".",
         *[
-            clamp_pad(F.coalesce(F.get(parts, F.lit(i)), F.lit("0")), SEGMENT_WIDTH)
+            F.when(F.size(parts) > i, clamp_pad(F.get(parts, F.lit(i)), SEGMENT_WIDTH)).otherwise(
+                "0" * SEGMENT_WIDTH
+            )
             for i in range(SEGMENTS)
         ],
     )

@@ -115,12 +115,13 @@ def exposure_report(fact: DataFrame, advisories: DataFrame, by: list[str] | None
         F.count("*").alias("advisory_count"), F.min("id").alias("first_id")
     )
     vulnerable = scoped.join(hits, IDENTITY).drop("version_sort_key")
-    totals = vulnerable.groupBy(*by).agg(F.count("*").alias("vulnerable_versions"))
     order = [F.desc("n"), F.asc("ecosystem"), F.asc("package_key"), F.asc("version_raw")]
     if by:
+        totals = vulnerable.groupBy(*by).agg(F.count("*").alias("vulnerable_versions"))
         shown = top_per_group(vulnerable, by, order, MAX_FINDINGS).drop("rank").join(totals, by)
     else:
-        shown = vulnerable.orderBy(*order).limit(MAX_FINDINGS).crossJoin(totals)
+        total = vulnerable.agg(F.count("*")).scalar()
+        shown = vulnerable.orderBy(*order).limit(MAX_FINDINGS).withColumn("vulnerable_versions", total)
     return shown.join(sample_repos(fact, by), [*by, *IDENTITY]).withColumnRenamed(
         "n", "affected_repo_count"
     )

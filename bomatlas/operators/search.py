@@ -239,9 +239,10 @@ def search_dependency(
         entries = representative_versions(hits)
     else:
         entries = representative
+    matched = entries.agg(F.count("*")).scalar()
     summary = representative.agg(
         F.count("*").alias("total_repo_count"), *_excluded_counts()
-    ).crossJoin(entries.agg(F.count("*").alias("matched_repo_count")))
+    ).withColumn("matched_repo_count", matched)
     return {
         "summary": summary.withColumn("range_exact", F.lit(ecosystem in EXACT_SCHEMES)),
         "top_versions": top_versions(rows),
