@@ -4,8 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, difference
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from workload.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
