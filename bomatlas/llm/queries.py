@@ -112,11 +112,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT *, 3 * source_size AS cap,
                (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE
                / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level,
-               row_number() OVER (ORDER BY 3 * source_size / weight, none, name) AS at
+               row_number() OVER (ORDER BY 3 * source_size / weight, none, name) AS pos
         FROM sums WINDOW before AS (ORDER BY 3 * source_size / weight, none, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     ), targets AS (
         SELECT none, name, source_size,
-               coalesce(least(cap::DOUBLE, weight * (SELECT arg_min(level, at) FROM levels WHERE level * weight < cap)), cap::DOUBLE) AS target
+               coalesce(least(cap::DOUBLE, weight * (SELECT arg_min(level, pos) FROM levels WHERE level * weight < cap)), cap::DOUBLE) AS target
         FROM levels
     ), cut AS (
         SELECT doc_id, size, source, source_size, target,
