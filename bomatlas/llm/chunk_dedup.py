@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomatlas.llm.common import ascii_lower, stored
+from bomatlas.llm.common import ascii_lower, probably_in, stored
 
 SHORTEST, LONGEST = 1024, 8192
 #: A chunk ends at a line or sentence end past the shortest length, or at the longest.
@@ -50,7 +50,7 @@ def exact_copies(documents: DataFrame) -> DataFrame:
     shared = recipes.groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
     suspects = stored(recipes.join(shared, "_key", "left_semi").select("doc_id", "_length", "_recipe", "_key"), "suspects")
     chunks = (
-        documents.select("doc_id", "text")
+        probably_in(documents.select("doc_id", "text"), "doc_id", suspects.select("doc_id"))
         .join(suspects.select("doc_id").distinct(), "doc_id", "left_semi")
         .select(F.explode(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))).alias("_chunk"))
         .select(_fingerprint(F.col("_chunk")).alias("_print"), "_chunk")

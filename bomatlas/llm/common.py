@@ -32,3 +32,35 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bits of an id filter: 4 MB in 1,024 rows, whatever the number of ids.
+FILTER_BITS = 25
+
+
+def probably_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``frame`` whose ``column`` may be among the values of the only column of ``ids``.
+
+    No row that is among them is lost. The filter is a bitmap of fixed size, so sending it to
+    every task is bounded; the more ids, the more other rows pass. Meant to stand before an
+    exact join, so that the join need not move the texts of rows it would drop.
+    """
+    def spot(value: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(f"`{value}`")), F.lit(1 << FILTER_BITS))
+
+    at = spot(ids.columns[0])
+    bitmaps = (
+        ids.select(at.alias("_at"))
+        .groupBy(F.bitmap_bucket_number("_at").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    )
+    columns = [F.col(f"`{c}`") for c in frame.columns]
+    bit = F.bitmap_bit_position("_spot")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return (
+        frame.withColumn("_spot", spot(column))
+        .withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+        .join(F.broadcast(bitmaps), "_bucket")
+        .where(F.getbit(byte, (bit % 8).cast("int")) == 1)
+        .select(*columns)
+    )
