@@ -38,11 +38,11 @@ def word_count(text: Column) -> Column:
 FILTER_BITS = 25
 
 
-def probably_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``frame`` whose ``column`` may be among the values of the only column of ``ids``.
+def flag_probable(frame: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
+    """``frame`` with a boolean ``flag``: ``column`` may be among the values of the only column of ``ids``.
 
-    No row that is among them is lost. The filter is a bitmap of fixed size, so sending it to
-    every task is bounded; the more ids, the more other rows pass. Meant to stand before an
+    False is certain. The filter is a bitmap of fixed size, so sending it to every task is
+    bounded; the more ids, the more other rows are flagged as well. Meant to stand before an
     exact join, so that the join need not move the texts of rows it would drop.
     """
     def spot(value: str) -> Column:
@@ -60,7 +60,11 @@ def probably_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return (
         frame.withColumn("_spot", spot(column))
         .withColumn("_bucket", F.bitmap_bucket_number("_spot"))
-        .join(F.broadcast(bitmaps), "_bucket")
-        .where(F.getbit(byte, (bit % 8).cast("int")) == 1)
-        .select(*columns)
+        .join(F.broadcast(bitmaps), "_bucket", "left")
+        .select(*columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias(flag))
     )
+
+
+def probably_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows that :func:`flag_probable` flags: none that is among ``ids`` is lost."""
+    return flag_probable(frame, column, ids, "_may").where("_may").drop("_may")
