@@ -84,16 +84,14 @@ def branches(messages: DataFrame, paths: int = 1) -> DataFrame:
     largest = nodes.groupBy("_tree").count().agg(F.max("count")).first()[0] or 1
     while step.where("_up is not null").limit(1).count() and 2 ** len(steps) < 2 * largest:
         above = step.select("_tree", F.col("_node").alias("_up"), F.col("_up").alias("_next"), F.col("_depth").alias("_more"), F.col("_sum").alias("_add"))
-        step = stored(
-            step.join(above, ["_tree", "_up"], "left").select(
-                "_tree",
-                "_node",
-                F.col("_next").alias("_up"),
-                (F.col("_depth") + F.coalesce("_more", F.lit(0))).alias("_depth"),
-                (F.col("_sum") + F.coalesce("_add", F.lit(0.0))).alias("_sum"),
-            ),
-            "ancestors",
+        pending = step.where("_up is not null").join(above, ["_tree", "_up"]).select(
+            "_tree",
+            "_node",
+            F.col("_next").alias("_up"),
+            (F.col("_depth") + F.col("_more")).alias("_depth"),
+            (F.col("_sum") + F.col("_add")).alias("_sum"),
         )
+        step = stored(step.where("_up is null").unionByName(pending), "ancestors")
         steps.append(step)
     rooted = step.where("_up is null").select("_tree", "_node", "_depth", (F.col("_sum") / (F.col("_depth") + 1)).alias("_mean"))
     parents = nodes.where("_parent is not null").select("_tree", F.col("_parent").alias("_node")).distinct()
