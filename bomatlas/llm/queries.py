@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bomatlas.llm import chat_trees, chunk_dedup, decontamination, quality_lm, source_mix, suffix_dedup, toxicity, url_rules
+from bomatlas.llm import chat_trees, chunk_dedup, decontamination, jaccard_join, quality_lm, source_mix, suffix_dedup, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +38,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))

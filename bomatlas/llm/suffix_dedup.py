@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomatlas.llm.common import flag_probable, stored
-from bomatlas.llm.tokens import Powers, bytes_and_offsets, mix, slices
+from bomatlas.llm.tokens import Powers, bytes_and_offsets, gathered, mix, slices
 
 LENGTH, PIECE = 100, 24
 #: Contents of one anchor from which its strings are dealt one by one.
@@ -268,10 +268,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _suffix_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of strings whose longest previous factor is ``LENGTH`` or more, of all contexts in this task."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    table = gathered(batches)
+    if table is None:
         return
-    table = table.combine_chunks()
     key, shift, id_, text, start = (table.column(n).to_numpy() for n in ("key", "shift", "id", "text", "start"))
     order = np.lexsort((start, text, id_, shift >= 0, key))
     key, shift, id_, text, start = key[order], shift[order], id_[order], text[order], start[order]

@@ -144,3 +144,9 @@ def sets_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (runs[1:] != runs[:-1]) | (of[1:] != of[:-1])
     runs, of = runs[new], of[new]
     return runs, np.searchsorted(of, np.arange(len(words.first)))
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All rows of a task as one table, None where there are none."""
+    found = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(found).combine_chunks() if found else None
