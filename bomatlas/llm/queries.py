@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bomatlas.llm import chat_trees, chunk_dedup, decontamination, jaccard_join, quality_lm, source_mix, suffix_dedup, toxicity, url_rules
+from bomatlas.llm import chat_trees, chunk_dedup, decontamination, jaccard_join, licence_scan, quality_lm, source_mix, suffix_dedup, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op7_licence_scan")
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
