@@ -68,3 +68,14 @@ def flag_probable(frame: DataFrame, column: str, ids: DataFrame, flag: str) -> D
 def probably_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """The rows that :func:`flag_probable` flags: none that is among ``ids`` is lost."""
     return flag_probable(frame, column, ids, "_may").where("_may").drop("_may")
+
+
+def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``documents`` but the rows whose ``doc_id`` is in ``ids`` (one column; null is an id like others).
+
+    Rows that an id filter clears stay where they are; only the others are joined.
+    """
+    gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
+    flagged = flag_probable(documents, "doc_id", gone, "_may")
+    checked = flagged.where("_may").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return flagged.where("not _may").unionByName(checked).drop("_may")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomatlas.llm.common import stored
+from bomatlas.llm.common import stored, without_ids
 from bomatlas.llm.tokens import CASELESS_VALUE, NO_LETTER, Powers, bytes_and_offsets, mix, slices, words_of
 
 #: Compared (#) and ignored (-) positions: 8 of 11 to 13 words, so replaced words leave one mask whole nearby.
@@ -196,6 +196,5 @@ def leaks(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> D
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
-    """``documents`` without the rows whose ``doc_id`` holds a test item; null ids included."""
-    found = leaks(documents, benchmark, agree).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """``documents`` without the rows whose ``doc_id`` holds a test item."""
+    return without_ids(documents, stored(leaks(documents, benchmark, agree).select("doc_id"), "leaks"))

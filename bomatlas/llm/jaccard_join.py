@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomatlas.llm.common import probably_in, stored
+from bomatlas.llm.common import probably_in, stored, without_ids
 from bomatlas.llm.components import components
 from bomatlas.llm.tokens import Powers, bytes_and_offsets, gathered, sets_of, slices, words_of
 
@@ -400,3 +400,10 @@ def near_groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
     return nodes.join(smallest, "_group", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """``documents`` with the row of smallest id of each group. Rows that share an id stay or go together."""
+    groups = near_groups(documents, words, percent).where("doc_id is not null")
+    follows = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("_follows"))
+    return without_ids(documents, stored(follows.where("_follows").select("doc_id"), "followers"))

@@ -161,7 +161,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mixed(table(spark, sf_dir, "documents"))
+    return source_mix.mixed(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 SITE_RULES = [

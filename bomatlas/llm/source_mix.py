@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomatlas.llm.common import WORD, stored, word_count
+from bomatlas.llm.common import WORD, probably_in, stored, word_count
 
 #: By the order of the sources' names, again and again.
 WEIGHTS = (5, 2, 1)
@@ -59,7 +59,7 @@ def mixed(
     seed: int = 7,
     range_digits: int = RANGE_DIGITS,
 ) -> DataFrame:
-    """``doc_id, size, source, source_size, target, taken`` for every row of ``documents``.
+    """``doc_id, size, source, source_size, target, taken, text_hash`` for every row of ``documents``.
 
     ``taken`` counts words, repeats included. Null texts have size 0; a null source is a source
     of its own, after the others. Rows that agree in ``doc_id`` are ordered by size and text
@@ -102,24 +102,34 @@ def mixed(
             "source_size",
             "target",
             (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))).cast("long").alias("taken"),
+            F.col("_digest").alias("text_hash"),
         )
     )
 
 
-def mixture(documents: DataFrame, columns: Sequence[str], **options) -> DataFrame:
+def mixture(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each time a document is used, with its ``epoch`` and ``words``.
 
-    The row where a budget ends holds its first words only, white space kept. Documents of
-    the same ``doc_id`` and text are one document here.
+    The row where a budget ends holds its first words only, white space kept. Rows equal in
+    id, source and text are one document here, used as often as all of them together.
     """
-    plan = mixed(documents, **options).select("doc_id", "source", "size", "taken").where("taken > 0")
-    uses = plan.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken")).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_size"), "taken"
+    columns = [F.col(f"`{c}`") for c in documents.columns if c not in ("epoch", "words")]
+    plan = mixed(documents, **options).where("taken > 0")
+    uses = stored(
+        plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("text_hash").alias("_hash"))
+        .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows")),
+        "uses",
     )
-    body = documents.select(*[F.col(f"`{c}`") for c in columns]).distinct().withColumn("_words", word_count(F.col("text")))
-    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_words") == F.col("_size"))
-    used = body.join(uses, same).withColumn("epoch", F.explode(F.expr("sequence(0L, (taken - 1) div _size)")))
-    words = F.least(F.col("_size"), F.col("taken") - F.col("epoch") * F.col("_size"))
+    body = documents.select(*columns, F.xxhash64("text").alias("_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_digest") == F.col("_hash"))
+    several = uses.where("_rows > 1")
+    used = body.join(uses.where("_rows = 1"), same).unionByName(
+        probably_in(body, "doc_id", several.select("_id")).join(several, same).dropDuplicates(["_id", "_from", "_hash"])
+    )
+    used = used.withColumn("epoch", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
+    words = F.least(F.col("_size"), F.col("_taken") - F.col("epoch") * F.col("_size"))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.when(words < F.col("_size"), F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(F.col("text"))
-    return used.select(*[cut.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], "epoch", words.alias("words"))
+    return used.withColumn("_cut", cut).select(
+        *[F.col("_cut").alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in ("epoch", "words")], "epoch", words.alias("words")
+    )
