@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomatlas.llm.common import ascii_lower, flag_probable, probably_in, stored
+from bomatlas.llm.common import ascii_lower, flag_probable, probably_in, stored, whole_rows
 
 SHORTEST, LONGEST = 1024, 8192
 #: A chunk ends at a line or sentence end past the shortest length, or at the longest.
@@ -98,8 +98,9 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     copies = stored(exact_copies(documents), "copies").select("doc_id", F.col("text_sha256").alias("_sha"), "kept")
     again = copies.where("kept").groupBy("doc_id", "_sha").agg(F.count("*").alias("rows")).where("rows > 1")
     dropped = copies.where("not kept").select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_digest")).distinct()
-    flagged = flag_probable(documents, "doc_id", dropped.select("_id").unionByName(again.select(F.col("doc_id").alias("_id"))), "_may")
-    digest = F.sha2(normalised(F.col("text")), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest"))
-    checked = flagged.where("_may").withColumn("_sha", digest).join(dropped, same, "left_anti").dropDuplicates(["doc_id", "_sha"])
-    return flagged.where("not _may").unionByName(checked.drop("_sha")).drop("_may")
+    wanted = dropped.select("_id").unionByName(again.select(F.col("doc_id").alias("_id")))
+    flagged = flag_probable(whole_rows(documents, _key="doc_id"), "_key", wanted, "_may")
+    digest = F.sha2(normalised(F.col("_row")["text"]), 256)
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest"))
+    checked = flagged.where("_may").withColumn("_sha", digest).join(dropped, same, "left_anti").dropDuplicates(["_key", "_sha"])
+    return flagged.where("not _may").unionByName(checked.drop("_sha")).select("_row.*")

@@ -34,6 +34,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def whole_rows(frame: DataFrame, **keys: str) -> DataFrame:
+    """Each row as the struct ``_row`` beside the columns ``keys`` names, so no column's name can clash."""
+    return frame.select(*[F.col(f"`{column}`").alias(name) for name, column in keys.items()], F.struct("*").alias("_row"))
+
+
 #: Bits of an id filter: 4 MB in 1,024 rows, whatever the number of ids.
 FILTER_BITS = 25
 
@@ -76,6 +81,6 @@ def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
     Rows that an id filter clears stay where they are; only the others are joined.
     """
     gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
-    flagged = flag_probable(documents, "doc_id", gone, "_may")
-    checked = flagged.where("_may").join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return flagged.where("not _may").unionByName(checked).drop("_may")
+    flagged = flag_probable(whole_rows(documents, _id="doc_id"), "_id", gone, "_may")
+    checked = flagged.where("_may").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return flagged.where("not _may").unionByName(checked).select("_row.*")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomatlas.llm.common import WORD, probably_in, stored, word_count
+from bomatlas.llm.common import WORD, probably_in, stored, whole_rows, word_count
 
 #: By the order of the sources' names, again and again.
 WEIGHTS = (5, 2, 1)
@@ -112,24 +112,24 @@ def mixture(documents: DataFrame, **options) -> DataFrame:
 
     The row where a budget ends holds its first words only, white space kept. Rows equal in
     id, source and text are one document here, used as often as all of them together.
+    Columns named ``epoch`` and ``words`` are replaced.
     """
-    columns = [F.col(f"`{c}`") for c in documents.columns if c not in ("epoch", "words")]
     plan = mixed(documents, **options).where("taken > 0")
     uses = stored(
         plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("text_hash").alias("_hash"))
         .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count("*").alias("_rows")),
         "uses",
     )
-    body = documents.select(*columns, F.xxhash64("text").alias("_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_digest") == F.col("_hash"))
+    body = whole_rows(documents, _doc="doc_id", _origin="source").withColumn("_digest", F.xxhash64(F.col("_row")["text"]))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_origin").eqNullSafe(F.col("_from")) & (F.col("_digest") == F.col("_hash"))
     several = uses.where("_rows > 1")
     used = body.join(uses.where("_rows = 1"), same).unionByName(
-        probably_in(body, "doc_id", several.select("_id")).join(several, same).dropDuplicates(["_id", "_from", "_hash"])
-    )
-    used = used.withColumn("epoch", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
-    words = F.least(F.col("_size"), F.col("_taken") - F.col("epoch") * F.col("_size"))
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.when(words < F.col("_size"), F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(F.col("text"))
-    return used.withColumn("_cut", cut).select(
-        *[F.col("_cut").alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns if c not in ("epoch", "words")], "epoch", words.alias("words")
+        probably_in(body, "_doc", several.select("_id")).join(several, same).dropDuplicates(["_id", "_from", "_hash"])
     )
+    used = used.withColumn("_epoch", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
+    words = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
+    text = F.col("_row")["text"]
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.when(words < F.col("_size"), F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")).otherwise(text)
+    kept = [c for c in documents.columns if c not in ("epoch", "words")]
+    return used.select(*[cut.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in kept], F.col("_epoch").alias("epoch"), words.alias("words"))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bomatlas.llm.tokens import Powers, Words, bytes_and_offsets, mix, slices, words_of
 
@@ -132,8 +133,7 @@ def score(documents: DataFrame, slots: np.ndarray, weights: np.ndarray) -> DataF
             values = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.record_batch([*batch.columns, pa.array(values)], names=[*keep, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + ", score double"
-    return frame.mapInArrow(scored, schema)
+    return frame.mapInArrow(scored, T.StructType([*frame.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):

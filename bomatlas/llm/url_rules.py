@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bomatlas.llm.common import LOWER, UPPER
+from bomatlas.llm.common import LOWER, UPPER, whole_rows
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -102,14 +102,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     of ``pages`` named like an added one are replaced.
     """
     added = ["host", "path", "rule", "verdict", "pattern"]
-    host, path = host_and_path(F.col(url))
-    parsed = pages.select(
-        *[F.col(f"`{c}`") for c in pages.columns if c not in (*added, "_subject", "_best")],
-        host.alias("host"),
-        path.alias("path"),
-        F.concat(host, path).alias("_subject"),
-    )
-    subjects = parsed.select("_subject").distinct()
+    host, path = host_and_path(F.col("_url"))
+    rows = whole_rows(pages, _url=url).select("_row", host.alias("_host"), path.alias("_path"), F.concat(host, path).alias("_subject"))
+    subjects = rows.select("_subject").distinct()
     tokens = subjects.select("_subject", F.explode(_tokens(F.col("_subject"))).alias("token"))
     best = (
         tokens.where("token <> ''")
@@ -119,8 +114,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
         .groupBy("_subject")
         .agg(F.max(F.struct("site", F.length("name").alias("size"), "name", "action")).alias("_best"))
     )
-    return parsed.join(best, "_subject", "left").select(
-        *[F.col(f"`{c}`") for c in parsed.columns if c != "_subject"],
+    return rows.join(best, "_subject", "left").select(
+        *[F.col("_row")[c].alias(c) for c in pages.columns if c not in added],
+        F.col("_host").alias("host"),
+        F.col("_path").alias("path"),
         F.when(F.col("_best.site"), F.col("_best.name")).alias("rule"),
         F.coalesce("_best.action", F.lit(ALLOW)).alias("verdict"),
         F.when(~F.col("_best.site"), F.col("_best.name")).alias("pattern"),
