@@ -35,9 +35,9 @@ from bomatlas.llm.tokens import Powers, bytes_and_offsets, gathered, mix, slices
 
 LENGTH, PIECE = 100, 24
 #: Contents of one anchor from which its strings are dealt one by one.
-HOT_CONTENTS = 10_000
+HOT_CONTENTS = 2_000
 #: Bytes of one text worked on at once; the strings of the next part follow without a gap.
-PART = 4 << 20
+PART = 1 << 20
 #: Strings put in suffix order at once.
 SORTED_AT_ONCE = 200_000
 
