@@ -7,6 +7,10 @@ n-gram among their rarest (so many that linked sets must share one) are candidat
 of each group of candidates are sent once, cut into fragments, overlaps are counted fragment
 by fragment, and the counts of a pair are summed and compared with the threshold.
 
+Each set has a signature of 1,024 parities. Bits that differ are n-grams only one of two sets
+has, so a pair with too many of them can't be similar enough: chance company in a list goes
+before any set is sent. Sizes too far apart end a list's run of neighbours likewise.
+
 Links are only needed to join groups, so pairs are tested in rounds: first neighbours in each
 n-gram's list, by size and then in a random order, which joins nearly all that belongs
 together in a number of pairs that is linear in the lists; last, exactly, every pair that
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bomatlas.llm.common import probably_in, stored, without_ids
 from bomatlas.llm.components import components
-from bomatlas.llm.tokens import Powers, bytes_and_offsets, gathered, sets_of, slices, words_of
+from bomatlas.llm.tokens import Powers, bytes_and_offsets, gathered, mix, sets_of, slices, words_of
 
 #: Words of an n-gram and least similarity in hundredths.
 WORDS, PERCENT = 4, 85
@@ -35,12 +39,15 @@ SLOT_BITS, CHUNK = 20, 1 << 16
 #: Fragments of the global order; a group of candidates with more n-grams than ``GROUP_GRAMS`` in each is cut finer.
 FRAGMENTS, GROUP_GRAMS = 4, 1 << 21
 #: Rounds of tests between neighbours in a list, in different orders.
-ROUNDS = 3
+ROUNDS = 2
 #: Members of a list that are handed on together.
 LIST_PART = 4096
+#: Bits of a set's signature, and members up to which all pairs of a list are compared by it.
+SIGNATURE_BITS, SHORT_LIST = 1024, 64
 #: Word lookups done at once when overlaps are counted.
 COUNTED_AT_ONCE = 4 << 20
 
+_SIGNATURE_WORDS = SIGNATURE_BITS // 64
 _SHIFT = np.uint64(64 - SLOT_BITS)
 
 
@@ -68,23 +75,46 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
             yield batch, low, grams, first
 
 
+def _signatures(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set the parity, per residue, of its number of n-grams."""
+    out: list[bytes] = []
+    for low in range(0, len(first) - 1, 2048):
+        ends = first[low : low + 2049]
+        of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        bit = (grams[ends[0] : ends[-1]] % np.uint64(SIGNATURE_BITS)).astype(np.int64)
+        odd = np.bincount(of * SIGNATURE_BITS + bit, minlength=(len(ends) - 1) * SIGNATURE_BITS) & 1
+        out += [row.tobytes() for row in np.packbits(odd.astype(bool).reshape(-1, SIGNATURE_BITS), axis=1)]
+    return out
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` may be similar enough; ``a`` and ``b`` hold a signature a row."""
+    differ = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return fits & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def _signature_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, _SIGNATURE_WORDS)
+
+
 def _survey(words: int):
-    """For ``mapInArrow``: size and set id of each document, and the slots' counts of the task."""
+    """For ``mapInArrow``: size, set id and signature of each document, and the slots' counts of the task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "set_id", "chunk", "counts"]
+        names = ["doc_id", "n", "set_id", "chunk", "counts", "signature"]
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch, low, grams, first in _sets(batches, words):
             total += np.bincount((grams >> _SHIFT).astype(np.int64), minlength=len(total))
             n = np.diff(first)
             ids = [_set_id(grams[a:b]) if b > a else None for a, b in zip(first[:-1], first[1:])]
             yield pa.record_batch(
-                [batch.column("doc_id").slice(low, len(n)), pa.array(n), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                [batch.column("doc_id").slice(low, len(n)), pa.array(n), pa.array(ids, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()), pa.array(_signatures(grams, first), pa.binary())],
                 names=names,
             )
         parts = [total[i : i + CHUNK].astype(np.int32).tobytes() for i in range(0, len(total), CHUNK)]
         n = len(parts)
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary()), pa.nulls(n, pa.binary())], names=names)
 
     return rows
 
@@ -129,21 +159,60 @@ def _rare(sent, words: int, percent: int, buckets: int):
     return rows
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of every list that has two or more."""
-    parts = [(np.frombuffer(g, np.uint64), np.frombuffer(s, np.int64), np.frombuffer(n, np.int32)) for b in batches for g, s, n in zip(*(b.column(c).to_pylist() for c in ("grams", "sets", "sizes")))]
-    if not parts:
-        return
-    gram, name, size = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((name, gram))
-    gram, name, size = gram[order], name[order], size[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])
-    gram, name, size = gram[new], name[new], size[new]
-    twin = np.zeros(len(gram), bool)
-    twin[1:] = gram[1:] == gram[:-1]
-    twin[:-1] |= twin[1:]
-    yield pa.record_batch([pa.array(gram[twin].view(np.int64)), pa.array(name[twin]), pa.array(size[twin])], names=["gram", "set_id", "n"])
+def _shared(percent: int):
+    """For ``mapInArrow``: the members of every list that has two or more of fitting size.
+
+    Sorted by size, a list ends where the next set is too large for the one before: sets on
+    both sides of such a gap can't link. Each piece is a list of its own, numbered by a hash.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.frombuffer(g, np.uint64), np.frombuffer(s, np.int64), np.frombuffer(n, np.int32)) for b in batches for g, s, n in zip(*(b.column(c).to_pylist() for c in ("grams", "sets", "sizes")))]
+        if not parts:
+            return
+        gram, name, size = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((name, size, gram))
+        gram, name, size = gram[order], name[order], size[order].astype(np.int64)
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])
+        gram, name, size = gram[new], name[new], size[new]
+        begins = np.ones(len(gram), bool)
+        begins[1:] = (gram[1:] != gram[:-1]) | (100 * size[:-1] < percent * size[1:])
+        alone = begins & np.append(begins[1:], True)
+        piece = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        number = mix(gram + mix(size[piece].astype(np.uint64)))[~alone].view(np.int64)
+        yield pa.record_batch([pa.array(number), pa.array(name[~alone]), pa.array(size[~alone].astype(np.int32))], names=["gram", "set_id", "n"])
+
+    return rows
+
+
+def _without_strangers(percent: int):
+    """For ``mapInArrow``: members of short lists only if a signature there may be similar enough."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = gathered(batches)
+        if table is None:
+            return
+        gram = table.column("gram").to_numpy()
+        order = np.argsort(gram, kind="stable")
+        n = table.column("n").to_numpy().astype(np.int64)
+        signs = _signature_rows(table.column("signature").combine_chunks())
+        starts = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1]))
+        members = np.diff(np.append(starts, len(gram)))
+        kept = np.zeros(len(gram), bool)
+        kept[order[np.repeat(members > SHORT_LIST, members)]] = True
+        for size in range(2, SHORT_LIST + 1):
+            for low in range(0, int((members == size).sum()), 4096):
+                lists = starts[members == size][low : low + 4096]
+                for i in range(size):
+                    for j in range(i):
+                        a, b = order[lists + i], order[lists + j]
+                        some = _may_link(signs[a], signs[b], n[a], n[b], percent)
+                        kept[a[some]] = True
+                        kept[b[some]] = True
+        yield from table.filter(pa.array(kept)).to_batches()
+
+    return rows
 
 
 def _segments(sent, words: int):
@@ -246,7 +315,9 @@ def _apart(percent: int):
             out: list[tuple] = []
             for row in batch.to_pylist():
                 sets, labels, ns = (np.array(row[c], np.int64) for c in ("sets", "labels", "sizes"))
-                fits = (labels != row["label"]) & (100 * np.minimum(ns, row["n"]) >= percent * np.maximum(ns, row["n"]))
+                signs = np.frombuffer(b"".join(row["signs"]), np.uint64).reshape(-1, _SIGNATURE_WORDS)
+                own = np.frombuffer(row["signature"], np.uint64)
+                fits = (labels != row["label"]) & _may_link(signs, own, ns, np.int64(row["n"]), percent)
                 if fits.any():
                     out.append((row["set_id"], row["n"], row["group"], sets[fits].tobytes(), ns[fits].astype(np.int32).tobytes()))
             yield from _emitted(out, _PARTNER_TYPES)
@@ -303,19 +374,26 @@ def _tested(partners: DataFrame, segments: DataFrame, groups: DataFrame, percent
 
 
 def _neighbours(lists: DataFrame, labels: DataFrame | None, order: list, percent: int) -> DataFrame:
-    """Each member of a list with the one before it, if the two are apart and their sizes fit."""
+    """Each member of a list with the one before it, if the two are apart and may link."""
     rows = lists if labels is None else _labelled(lists, labels)
     # A long list is cut at random into short ones: any neighbours will do here.
     salt = F.pmod(F.xxhash64("set_id", F.lit(len(order))), F.greatest(F.lit(1), F.expr(f"members div {LIST_PART}")))
     row = Window.partitionBy("gram", "_salt").orderBy(*order)
-    columns = ["set_id", "n", *(["label"] if labels is not None else [])]
+    columns = ["set_id", "n", "signature", *(["label"] if labels is not None else [])]
     before = F.lag(F.struct(*columns)).over(row)
-    paired = rows.withColumn("_salt", salt).select("set_id", "n", "group", *columns[2:], before.alias("_before")).where("_before is not null")
+    paired = rows.withColumn("_salt", salt).select("group", *columns, before.alias("_before")).where("_before is not null")
     if labels is not None:
         paired = paired.where("label <> _before.label")
-    sized = paired.select("set_id", "n", "group", F.col("_before.set_id").alias("other"), F.col("_before.n").alias("other_n"))
-    fit = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
-    return sized.where(fit).distinct()
+    pairs = paired.select("set_id", "n", "group", "signature", F.col("_before.set_id").alias("other"), F.col("_before.n").alias("other_n"), F.col("_before.signature").alias("other_signature"))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_signature_rows(batch.column(c)) for c in ("signature", "other_signature"))
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "other_n"))
+            some = batch.filter(pa.array(_may_link(a, b, n, m, percent)))
+            yield some.select(["set_id", "n", "group", "other", "other_n"])
+
+    return pairs.mapInArrow(likely, "set_id long, n int, group long, other long, other_n int").distinct()
 
 
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -335,9 +413,9 @@ def _still_apart(lists: DataFrame, labels: DataFrame, done: DataFrame, percent:
     parts = (
         rows.join(largest.select("gram"), "gram", "left_semi")
         .groupBy("gram", part)
-        .agg(F.collect_list("set_id").alias("sets"), F.collect_list("label").alias("labels"), F.collect_list("n").alias("sizes"))
+        .agg(F.collect_list("set_id").alias("sets"), F.collect_list("label").alias("labels"), F.collect_list("n").alias("sizes"), F.collect_list("signature").alias("signs"))
     )
-    found = asking.select("gram", "set_id", "n", "group", "label").join(parts, "gram").mapInArrow(_apart(percent), _PARTNERS)
+    found = asking.select("gram", "set_id", "n", "group", "label", "signature").join(parts, "gram").mapInArrow(_apart(percent), _PARTNERS)
     old = done.select("set_id", F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("group"), *[F.lit(None).cast("binary").alias(c) for c in ("others", "ns")], F.col("other").alias("done"))
     return found.withColumn("done", F.lit(None).cast("long")).unionByName(old).repartition(buckets, "set_id").mapInArrow(_gather, _PARTNERS)
 
@@ -354,7 +432,7 @@ def near_groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
     spark = documents.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = stored(texts.mapInArrow(_survey(words), "doc_id long, n long, set_id long, chunk int, counts binary"), "survey")
+    survey = stored(texts.mapInArrow(_survey(words), "doc_id long, n long, set_id long, chunk int, counts binary, signature binary"), "survey")
     slot_counts = np.zeros(1 << SLOT_BITS, np.int64)
     for chunk, counts in survey.where("chunk is not null").select("chunk", "counts").repartition((1 << SLOT_BITS) // CHUNK, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect():
         slot_counts[chunk * CHUNK : (chunk + 1) * CHUNK] += np.frombuffer(counts, np.int64)
@@ -367,12 +445,15 @@ def near_groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     sized = survey.where("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     packed = texts.mapInArrow(_rare(sent, words, percent, buckets), "bucket int, grams binary, sets binary, sizes binary")
-    lists = stored(packed.repartition(buckets, "bucket").mapInArrow(_shared, "gram long, set_id long, n int"), "lists")
+    lists = packed.repartition(buckets, "bucket").mapInArrow(_shared(percent), "gram long, set_id long, n int")
+    signatures = survey.where("set_id is not null").dropDuplicates(["set_id"]).select("set_id", "signature")
+    close = lists.join(signatures, "set_id").select("gram", "set_id", "n", "signature").repartition(buckets, "gram")
+    lists = stored(close.mapInArrow(_without_strangers(percent), "gram long, set_id long, n int, signature binary"), "lists")
     per_list = lists.groupBy("gram").agg(F.min("set_id").alias("v"), F.count("*").alias("members"))
     joined = lists.join(per_list, "gram")
     candidates = components(joined.select(F.col("set_id").alias("u"), "v"), "candidates").select(F.col("node").alias("set_id"), F.col("component").alias("group"))
     candidates = stored(candidates, "candidates")
-    lists = stored(joined.join(candidates, "set_id").select("gram", "set_id", "n", "group", "members"), "lists")
+    lists = stored(joined.join(candidates, "set_id").select("gram", "set_id", "n", "signature", "group", "members"), "lists")
 
     total = lists.select("set_id", "n", "group").distinct().groupBy("group").agg(F.sum("n").alias("_grams"))
     cuts = (F.ceil(F.col("_grams") / (FRAGMENTS * GROUP_GRAMS)) * FRAGMENTS).cast("int")
