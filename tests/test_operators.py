@@ -2,7 +2,11 @@
 
 import datetime as dt
 import math
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -199,12 +203,11 @@ def test_lexical_retrieval_against_brute_force(spark):
         expected[q] = sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:7]
     documents = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
     asked = spark.createDataFrame(queries, "query_id bigint, text string")
-    for per_pass in (256, 4):
-        rows = retrieval.retrieve_lexical(documents, asked, 7, per_pass).orderBy("query_id", "rank").collect()
-        got = {}
-        for r in rows:
-            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
-        assert got == expected
+    rows = retrieval.retrieve_lexical(documents, asked, 7).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert got == expected
 
 
 def test_vector_retrieval_against_brute_force(spark):
@@ -219,14 +222,46 @@ def test_vector_retrieval_against_brute_force(spark):
     frame = lambda x, name: spark.createDataFrame(
         [(i, [float(v) for v in row]) for i, row in enumerate(x)], f"{name} bigint, embedding array<double>"
     ).repartition(4)
-    for per_pass in (2048, 3):
-        rows = retrieval.retrieve_vector(frame(vectors, "vec_id"), frame(queries, "query_id"), queries_per_pass=per_pass)
+    for per_block in (1000, 4):
+        rows = retrieval.retrieve_vector(
+            frame(vectors, "vec_id"), frame(queries, "query_id"), vectors_per_block=30 * per_block, queries_per_block=per_block
+        )
         got = {q: [] for q in expected}
         for r in rows.orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.vec_id, r.score))
         assert got == expected
 
 
+def test_retrieval_plan_does_not_grow_with_the_queries(spark):
+    documents = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} common") for i in range(50)], "doc_id bigint, text string")
+
+    def plan(n):
+        asked = spark.range(n).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.col("id") % 11).alias("text"))
+        found = retrieval.retrieve_lexical(documents, asked)
+        return found._jdf.queryExecution().optimizedPlan().toString().count("Join"), found.count()
+
+    (few, a), (many, b) = plan(40), plan(4000)
+    assert few == many and b > 50 * a
+
+
+def test_retrieval_from_another_folder(tmp_path):
+    """With only the entry module on the path, tasks must find what they run."""
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry", {str(root / '__spark_entry__.py')!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("retrieve_vector", "retrieve_lexical"):
+    print("rows", entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.stdout.count("rows True") == 2, done.stderr[-2000:]
+
+
 def test_evaluation(spark):
     hits = spark.createDataFrame(
         [("q1", 1, "nice", 0.1, "x" * 100 + "\n"), ("q1", 2, "o", 0.71, "short\n"), ("q1", 3, "o", 0.7, "y" * 200 + "\n"),
