@@ -15,11 +15,24 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch while a table is written: whole texts are large rows.
+BATCH_ROWS = 1_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame under the shared folder and read it back: a lost executor costs no recomputation."""
+    """Write a frame under the shared folder and read it back: a lost executor costs no recomputation.
+
+    Batches that go to Python are small meanwhile; the session's own setting is put back.
+    """
     spark = frame.sparkSession
     path = run_path(spark, name)
-    frame.write.parquet(path)
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(int(before), BATCH_ROWS)) if int(before) > 0 else str(BATCH_ROWS))
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -163,7 +163,9 @@ def _shared(percent: int):
     """For ``mapInArrow``: the members of every list that has two or more of fitting size.
 
     Sorted by size, a list ends where the next set is too large for the one before: sets on
-    both sides of such a gap can't link. Each piece is a list of its own, numbered by a hash.
+    both sides of such a gap can't link. Each piece is a list of its own, numbered by a hash of
+    its members, so that equal lists (near copies share most of theirs) can be dropped. Members
+    come packed, ``LIST_PART`` in a row.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +180,33 @@ def _shared(percent: int):
         gram, name, size = gram[new], name[new], size[new]
         begins = np.ones(len(gram), bool)
         begins[1:] = (gram[1:] != gram[:-1]) | (100 * size[:-1] < percent * size[1:])
-        alone = begins & np.append(begins[1:], True)
-        piece = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        number = mix(gram + mix(size[piece].astype(np.uint64)))[~alone].view(np.int64)
-        yield pa.record_batch([pa.array(number), pa.array(name[~alone]), pa.array(size[~alone].astype(np.int32))], names=["gram", "set_id", "n"])
+        starts = np.flatnonzero(begins)
+        members = np.diff(np.append(starts, len(gram)))
+        number = mix(np.add.reduceat(mix(name.view(np.uint64)), starts) + members.astype(np.uint64)).view(np.int64)
+        order = np.flatnonzero(members > 1)
+        _, first = np.unique(number[order], return_index=True)
+        out = [
+            (number[i], name[low : min(low + LIST_PART, starts[i] + members[i])].tobytes(), size[low : min(low + LIST_PART, starts[i] + members[i])].astype(np.int32).tobytes())
+            for i in order[first]
+            for low in range(starts[i], starts[i] + members[i], LIST_PART)
+        ]
+        yield from _emitted(out, {"gram": pa.int64(), "sets": pa.binary(), "sizes": pa.binary()})
 
     return rows
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each member of a packed list."""
+    for batch in batches:
+        if batch.num_rows:
+            sets, sizes = (batch.column(c).to_pylist() for c in ("sets", "sizes"))
+            n = [len(s) // 4 for s in sizes]
+            gram = np.repeat(batch.column("gram").to_numpy(), n)
+            yield pa.record_batch(
+                [pa.array(gram), pa.array(np.frombuffer(b"".join(sets), np.int64)), pa.array(np.frombuffer(b"".join(sizes), np.int32))], names=["gram", "set_id", "n"]
+            )
+
+
 def _without_strangers(percent: int):
     """For ``mapInArrow``: members of short lists only if a signature there may be similar enough."""
 
@@ -445,7 +466,8 @@ def near_groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     sized = survey.where("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     packed = texts.mapInArrow(_rare(sent, words, percent, buckets), "bucket int, grams binary, sets binary, sizes binary")
-    lists = packed.repartition(buckets, "bucket").mapInArrow(_shared(percent), "gram long, set_id long, n int")
+    lists = packed.repartition(buckets, "bucket").mapInArrow(_shared(percent), "gram long, sets binary, sizes binary").distinct()
+    lists = lists.mapInArrow(_members, "gram long, set_id long, n int")
     signatures = survey.where("set_id is not null").dropDuplicates(["set_id"]).select("set_id", "signature")
     close = lists.join(signatures, "set_id").select("gram", "set_id", "n", "signature").repartition(buckets, "gram")
     lists = stored(close.mapInArrow(_without_strangers(percent), "gram long, set_id long, n int, signature binary"), "lists")

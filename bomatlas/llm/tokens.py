@@ -60,7 +60,7 @@ class Powers:
 def bytes_and_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each text begins and ends; null is empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    column = column.fill_null("")
+    column = column.fill_null("") if column.null_count else column
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)

@@ -84,9 +84,11 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = np.sqrt(n[at] + slope * slope)
             z[at] += slope - (root - np.sqrt(n[at])) / ALPHA * w
             n[at] += slope * slope
-    w = weights(np.arange(bias + 1))
-    kept = np.flatnonzero(w)
-    yield pa.record_batch([pa.array(kept.astype(np.int32)), pa.array(w[kept].astype(np.float64))], names=["slot", "weight"])
+    for low in range(0, bias + 1, 1 << 18):
+        part = np.arange(low, min(low + (1 << 18), bias + 1))
+        w = weights(part)
+        kept = np.flatnonzero(w)
+        yield pa.record_batch([pa.array(part[kept].astype(np.int32)), pa.array(w[kept].astype(np.float64))], names=["slot", "weight"])
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:
