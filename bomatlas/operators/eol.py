@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomatlas.sources.refdata import eol_product, usable_cycles
+from bomatlas.sources.refdata import eol_product
 
 
 def is_eol(eol: Column, as_of: Column) -> Column:
@@ -43,7 +43,7 @@ def eol_status(rows: DataFrame, cycles: DataFrame, as_of: Column) -> DataFrame:
         "product", "version_raw", F.explode(dotted_prefixes(F.col("version_raw"))).alias("cycle")
     )
     best = (
-        prefixes.join(usable_cycles(cycles).select("product", "cycle", "eol"), ["product", "cycle"])
+        prefixes.join(cycles.select("product", "cycle", "eol"), ["product", "cycle"])
         .groupBy("product", "version_raw")
         .agg(F.max(F.struct(F.length("cycle").alias("size"), "cycle", "eol")).alias("m"))
         .select("product", "version_raw", "m.cycle", "m.eol")

@@ -66,7 +66,7 @@ def exposed(ids: DataFrame, advisories: DataFrame) -> DataFrame:
     its number of versions.
     """
     package = ["ecosystem", "package_key"]
-    ranges = affected_ranges(advisories).select("id", *package, "introduced_key", "fixed_key")
+    ranges = affected_ranges(advisories).select("id", *package, "introduced_key", "fixed_key", "last_affected_key")
     key = F.col("version_sort_key")
     by_range = (
         ids.where(key.isNotNull())
@@ -74,6 +74,7 @@ def exposed(ids: DataFrame, advisories: DataFrame) -> DataFrame:
         .where(
             (F.col("introduced_key").isNull() | (key >= F.col("introduced_key")))
             & (F.col("fixed_key").isNull() | (key < F.col("fixed_key")))
+            & (F.col("last_affected_key").isNull() | (key <= F.col("last_affected_key")))
         )
         .select(*IDENTITY, "id")
     )

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomatlas.operators.ranking import top_per_group
-from bomatlas.operators.search import clamp, name_contains
+from bomatlas.operators.search import name_contains, size_of
 
-# List sizes.
-MAX_TOP, DEFAULT_TOP = 500, 50
-MAX_LISTING, DEFAULT_LISTING = 5000, 500
-MAX_EXPORT, DEFAULT_EXPORT = 20_000, 5000
+# List sizes where the caller names none.
+DEFAULT_TOP = 50
+DEFAULT_LISTING = 500
 
 
 def top_packages(
@@ -25,7 +24,7 @@ def top_packages(
     if contains and contains.strip():
         popularity = name_contains(popularity, contains)
     return popularity.orderBy(F.desc("repo_count"), "package_key", "ecosystem").limit(
-        clamp(top, DEFAULT_TOP, 1, MAX_TOP)
+        size_of(top, DEFAULT_TOP)
     )
 
 
@@ -35,7 +34,7 @@ def top_licenses(
     rollup = rollup.where(F.col("license_id") == license_id.strip())
     if ecosystem:
         rollup = rollup.where(F.col("ecosystem") == ecosystem)
-    return rollup.orderBy(F.desc("repo_count"), "ecosystem").limit(clamp(top, DEFAULT_TOP, 1, MAX_TOP))
+    return rollup.orderBy(F.desc("repo_count"), "ecosystem").limit(size_of(top, DEFAULT_TOP))
 
 
 def package_popularity(
@@ -52,17 +51,15 @@ def package_popularity(
     return top_packages(popularity, ecosystem, contains, top)
 
 
-def _listed(by_repo: DataFrame, limit: int) -> DataFrame:
-    order = [F.asc("ecosystem"), F.asc("package_name"), F.asc("version_raw"), F.asc_nulls_first("license_id")]
+def _listed(by_repo: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` dependencies of each repository, or all of them."""
+    columns = ["repo_full_name", "ecosystem", "package_name", "version_raw", "version_kind", "license_id"]
     totals = by_repo.groupBy("repo_full_name").agg(F.count("*").alias("dependency_count"))
-    listed = top_per_group(
-        by_repo.select(
-            "repo_full_name", "ecosystem", "package_name", "version_raw", "version_kind", "license_id"
-        ),
-        ["repo_full_name"],
-        order,
-        limit,
-    )
+    if limit is None:
+        complete = {"returned": F.col("dependency_count"), "truncated": F.lit(False)}
+        return by_repo.select(*columns).join(totals, "repo_full_name").withColumns(complete)
+    order = [F.asc("ecosystem"), F.asc("package_name"), F.asc("version_raw"), F.asc_nulls_first("license_id")]
+    listed = top_per_group(by_repo.select(*columns), ["repo_full_name"], order, limit)
     return listed.join(totals, "repo_full_name").withColumns(
         {
             "returned": F.least("dependency_count", F.lit(limit).cast("bigint")),
@@ -86,7 +83,7 @@ def repo_dependencies(
         by_repo = by_repo.join(repos.select("repo_full_name").distinct(), "repo_full_name", "left_semi")
     if ecosystem:
         by_repo = by_repo.where(F.col("ecosystem") == ecosystem)
-    return _listed(by_repo, clamp(limit, DEFAULT_LISTING, 1, MAX_LISTING))
+    return _listed(by_repo, size_of(limit, DEFAULT_LISTING))
 
 
 def sbom_source_url(base_url: str, org: Column, repo: Column) -> Column:
@@ -96,11 +93,12 @@ def sbom_source_url(base_url: str, org: Column, repo: Column) -> Column:
 def sbom_export(
     by_repo: DataFrame, base_url: str, repos: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The listing at export size, with the address of the source document."""
+    """Every dependency of each repository (or ``limit`` of them), with the address of the source document."""
     if repos is not None:
         by_repo = by_repo.join(repos.select("repo_full_name").distinct(), "repo_full_name", "left_semi")
     name = F.col("repo_full_name")
-    return _listed(by_repo, clamp(limit, DEFAULT_EXPORT, 1, MAX_EXPORT)).withColumn(
+    listed = _listed(by_repo, limit if limit is None else size_of(limit, limit))
+    return listed.drop("rank").withColumn(
         "sbom_source_url",
         sbom_source_url(
             base_url, F.substring_index(name, "/", 1), F.get(F.split(name, "/"), F.lit(1))

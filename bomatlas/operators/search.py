@@ -14,16 +14,19 @@ from bomatlas.functions.ranges import parse_version_range, range_comparators, sa
 from bomatlas.functions.versions import EXACT_SCHEMES
 from bomatlas.operators.ranking import top_per_group
 
-# Page and list sizes.
-MAX_PAGE, DEFAULT_PAGE = 500, 200
-MAX_OFFSET = 100_000
+# Page and list sizes where the caller names none.
+DEFAULT_PAGE = 200
 TOP_VERSIONS = 10
 
 PACKAGE = ["ecosystem", "package_key"]
 
 
-def clamp(value: int | None, default: int, low: int, high: int) -> int:
-    return default if value is None else min(max(int(value), low), high)
+def size_of(value: int | None, default: int, least: int = 1) -> int:
+    """The caller's own number, whatever its size; one that makes no sense is an error."""
+    number = default if value is None else int(value)
+    if number < least:
+        raise ValueError(f"a size or offset of {number} is below {least}")
+    return number
 
 
 def known_ecosystem(name: str) -> str:
@@ -143,23 +146,28 @@ def best_matches(fact: DataFrame, watch: DataFrame) -> DataFrame:
 
 
 def search_summary(fact: DataFrame, watch: DataFrame) -> DataFrame:
-    """Per package: totals, matched repositories, what was excluded, exactness.
+    """Per watched package: totals, matched repositories, what was excluded, exactness.
 
-    One pass: representative and match are two aggregates of the same grouping.
+    Every row of the watch list has its answer: a package nobody uses has zeros, and a range
+    that cannot be read has ``error`` and no matched count. One pass over the fact table:
+    representative and match are two aggregates of the same grouping.
     """
     per_repo = (
         _matched(fact, watch)
-        .groupBy(*PACKAGE, "version_range", "repo_full_name")
+        .groupBy(*PACKAGE, "repo_full_name")
         .agg(F.max(_entry()).alias("e"), F.max("hit").alias("hit"))
-        .select(*PACKAGE, "version_range", "hit", "e.*")
+        .select(*PACKAGE, "hit", "e.*")
+    )
+    counts = ["total_repo_count", "matched_repo_count", "declared_range", "empty_version", "other_noncomparable"]
+    counted = per_repo.groupBy(*PACKAGE).agg(
+        F.count("*").alias("total_repo_count"), F.count_if("hit").alias("matched_repo_count"), *_excluded_counts()
     )
+    error = F.when(range_comparators(F.col("version_range")).isNull(), "unreadable version range")
+    known = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts}
     return (
-        per_repo.groupBy(*PACKAGE, "version_range")
-        .agg(
-            F.count("*").alias("total_repo_count"),
-            F.count_if("hit").alias("matched_repo_count"),
-            *_excluded_counts(),
-        )
+        watch.select(*PACKAGE, "version_range", error.alias("error"))
+        .join(counted, PACKAGE, "left")
+        .withColumns(known | {"matched_repo_count": F.when(F.col("error").isNull(), known["matched_repo_count"])})
         .withColumn("range_exact", F.col("ecosystem").isin(*EXACT_SCHEMES))
     )
 
@@ -169,8 +177,7 @@ def page(entries: DataFrame, limit: int | None = None, offset: int | None = None
 
     ``next_offset`` is NULL on the last page.
     """
-    limit = clamp(limit, DEFAULT_PAGE, 1, MAX_PAGE)
-    offset = clamp(offset, 0, 0, MAX_OFFSET)
+    limit, offset = size_of(limit, DEFAULT_PAGE), size_of(offset, 0, 0)
     counts = entries.groupBy(*PACKAGE).agg(F.count("*").alias("entry_count"))
     ranked = top_per_group(
         entries, PACKAGE, [F.desc_nulls_last("version_sort_key"), F.asc("repo_full_name")], limit, offset
@@ -198,16 +205,18 @@ def page_one(entries: DataFrame, limit: int | None = None, offset: int | None =
     """The page of a single package's entries, by Spark's own sort, offset and limit."""
     return (
         entries.orderBy(F.desc_nulls_last("version_sort_key"), F.asc("repo_full_name"))
-        .offset(clamp(offset, 0, 0, MAX_OFFSET))
-        .limit(clamp(limit, DEFAULT_PAGE, 1, MAX_PAGE))
+        .offset(size_of(offset, 0, 0))
+        .limit(size_of(limit, DEFAULT_PAGE))
     )
 
 
 def ecosystem_breakdown(popularity: DataFrame, package: str) -> DataFrame:
-    """Repositories per ecosystem that has a package of this name."""
-    return popularity.where(
-        F.col("package_key").isin(*package_keys_any_ecosystem(package))
-    ).select("ecosystem", "package_name", "repo_count")
+    """Repositories per ecosystem that has a package of this name, the most used first."""
+    return (
+        popularity.where(F.col("package_key").isin(*package_keys_any_ecosystem(package)))
+        .select("ecosystem", "package_name", "repo_count")
+        .orderBy(F.desc("repo_count"), "ecosystem")
+    )
 
 
 def search_dependency(

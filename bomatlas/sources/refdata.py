@@ -12,7 +12,9 @@ from bomatlas.functions.versions import with_version_columns
 ADVISORY_SCHEMA = (
     "id string, aliases array<string>, summary string, details string, "
     "severity array<struct<type:string,score:string>>, database_specific struct<severity:string>, "
-    "affected array<struct<ecosystem:string,name:string,introduced:string,fixed:string,"
+    "affected array<struct<package:struct<ecosystem:string,name:string>,"
+    "ranges:array<struct<type:string,"
+    "events:array<struct<introduced:string,fixed:string,last_affected:string>>>>,"
     "versions:array<string>>>"
 )
 EOL_SCHEMA = "product string, cycle string, eol string, latest string"
@@ -44,10 +46,8 @@ EOL_PRODUCTS = {
     "composer|laravel/framework": "laravel",
     "composer|symfony/symfony": "symfony",
 }
-# Bounds on what one lookup takes in.
-MAX_CYCLES_PER_PRODUCT = 5000
-MAX_ALIASES = 200
-MAX_SUMMARY_CHARS = 200
+# Fixed value: length of a summary in a report.
+SUMMARY_CHARS = 200
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -56,7 +56,7 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
-    """An advisory dump as JSON lines."""
+    """An advisory dump in the published format, one advisory a line."""
     return spark.read.schema(ADVISORY_SCHEMA).json(path)
 
 
@@ -83,39 +83,51 @@ def eol_product(ecosystem: Column, key: Column) -> Column:
     return _lookup(EOL_PRODUCTS, F.concat(ecosystem, F.lit("|"), key))
 
 
-def usable_cycles(cycles: DataFrame) -> DataFrame:
-    """Without products whose list is implausibly long."""
-    sizes = cycles.groupBy("product").agg(F.count("*").alias("_n"))
-    return cycles.join(sizes.where(F.col("_n") <= MAX_CYCLES_PER_PRODUCT), "product").drop("_n")
+def _affected(advisories: DataFrame) -> DataFrame:
+    """One row per affected entry, with our ecosystem where there is one."""
+    return advisories.select("id", F.explode("affected").alias("a")).select(
+        "id",
+        F.col("a.package.ecosystem").alias("advisory_ecosystem"),
+        own_ecosystem(F.col("a.package.ecosystem")).alias("ecosystem"),
+        F.col("a.package.name").alias("name"),
+        F.col("a.ranges").alias("ranges"),
+        F.col("a.versions").alias("versions"),
+    )
+
+
+def unmapped_packages(advisories: DataFrame) -> DataFrame:
+    """(advisory_ecosystem, entries) of what no package here can match: other ecosystems, no name."""
+    lost = F.col("ecosystem").isNull() | F.col("name").isNull()
+    return _affected(advisories).where(lost).groupBy("advisory_ecosystem").agg(F.count("*").alias("entries"))
 
 
 def affected_packages(advisories: DataFrame) -> DataFrame:
-    """(id, ecosystem, package_key, introduced, fixed, versions) with our package keys."""
-    a = F.col("a")
-    ours = own_ecosystem(a["ecosystem"])
-    return (
-        advisories.select("id", F.explode("affected").alias("a"))
-        .select(
-            "id",
-            ours.alias("ecosystem"),
-            F.when(ours == "maven", F.regexp_replace(a["name"], r"^([^:]*):", "$1/"))
-            .otherwise(a["name"])
-            .alias("name"),
-            a["introduced"].alias("introduced"),
-            a["fixed"].alias("fixed"),
-            a["versions"].alias("versions"),
-        )
-        .where(F.col("ecosystem").isNotNull())
-        .withColumn("package_key", package_key(F.col("ecosystem"), F.col("name")))
-        .drop("name")
-    )
+    """(id, ecosystem, package_key, ranges, versions) with our package keys."""
+    named = _affected(advisories).where("ecosystem is not null and name is not null")
+    name = F.when(F.col("ecosystem") == "maven", F.regexp_replace("name", r"^([^:]*):", "$1/")).otherwise(F.col("name"))
+    return named.select("id", "ecosystem", package_key(F.col("ecosystem"), name).alias("package_key"), "ranges", "versions")
+
+
+def affected_spans(advisories: DataFrame) -> DataFrame:
+    """(id, ecosystem, package_key, introduced, fixed, last_affected): one row per span of a range.
+
+    A span runs from an ``introduced`` event to the next event that ends it, the first version
+    that is fixed or the last that is affected; without one it is open above. A range that
+    only says where it ends is open below. Ranges of commits are left out: versions have none.
+    """
+    ranges = affected_packages(advisories).select("id", "ecosystem", "package_key", F.explode("ranges").alias("r"))
+    events = ranges.where("r.type is null or r.type <> 'GIT'").select("id", "ecosystem", "package_key", F.col("r.events").alias("events"))
+    begun = F.exists("events", lambda e: e["introduced"].isNotNull())
+    beginning = F.transform(F.array(F.lit("0")), lambda zero: F.struct(zero.alias("introduced"), F.lit(None).cast("string").alias("fixed"), F.lit(None).cast("string").alias("last_affected")))
+    events = events.withColumn("events", F.when(begun, F.col("events")).otherwise(F.concat(beginning, "events")))
+    starts = events.select("*", F.posexplode("events").alias("at", "event")).where("event.introduced is not null")
+    later = F.slice("events", F.col("at") + 2, F.size("events"))
+    end = F.get(F.filter(later, lambda e: e["fixed"].isNotNull() | e["last_affected"].isNotNull()), F.lit(0))
+    return starts.select("id", "ecosystem", "package_key", F.col("event.introduced").alias("introduced"), end["fixed"].alias("fixed"), end["last_affected"].alias("last_affected"))
 
 
 def affected_ranges(advisories: DataFrame) -> DataFrame:
-    """Introduced/fixed events on the sort key; ``introduced`` 0 or NULL is open below."""
-    rows = affected_packages(advisories).where(
-        F.col("introduced").isNotNull() | F.col("fixed").isNotNull()
-    )
+    """Spans on the sort key; ``introduced`` 0 is open below."""
 
     def keyed(df: DataFrame, column: str) -> DataFrame:
         kept = df.columns
@@ -123,15 +135,12 @@ def affected_ranges(advisories: DataFrame) -> DataFrame:
             *kept, F.col("version_sort_key").alias(f"{column}_key")
         )
 
-    rows = keyed(
-        rows.withColumn("introduced", F.nullif(F.col("introduced"), F.lit("0"))).drop("versions"),
-        "introduced",
-    )
-    return keyed(rows, "fixed").where(
+    rows = affected_spans(advisories).withColumn("introduced", F.nullif(F.col("introduced"), F.lit("0")))
+    for column in ("introduced", "fixed", "last_affected"):
+        rows = keyed(rows, column)
         # A bound that was given but cannot be read must not open the range.
-        (F.col("introduced").isNull() | F.col("introduced_key").isNotNull())
-        & (F.col("fixed").isNull() | F.col("fixed_key").isNotNull())
-    )
+        rows = rows.where(F.col(column).isNull() | F.col(f"{column}_key").isNotNull())
+    return rows
 
 
 def affected_versions(advisories: DataFrame) -> DataFrame:
@@ -141,20 +150,15 @@ def affected_versions(advisories: DataFrame) -> DataFrame:
     )
 
 
-def advisory_details(advisories: DataFrame) -> DataFrame:
-    """(id, cve, summary, severity, url) per advisory."""
-    cves = F.filter(
-        F.slice("aliases", 1, MAX_ALIASES), lambda alias: F.coalesce(alias.rlike(r"(?i)^CVE-"), F.lit(False))
-    )
+def advisory_details(advisories: DataFrame, summary_chars: int | None = SUMMARY_CHARS) -> DataFrame:
+    """(id, cve, summary, severity, url) per advisory; ``summary_chars=None`` keeps whole summaries."""
+    cves = F.filter("aliases", lambda alias: F.coalesce(alias.rlike(r"(?i)^CVE-"), F.lit(False)))
+    summary = F.coalesce(blank_to_null(F.col("summary")), F.col("details"), F.lit(""))
     first_score = F.get(F.col("severity"), F.lit(0))["score"]
     return advisories.select(
         "id",
         F.get(cves, F.lit(0)).alias("cve"),
-        F.substring(
-            F.coalesce(blank_to_null(F.col("summary")), F.col("details"), F.lit("")),
-            1,
-            MAX_SUMMARY_CHARS,
-        ).alias("summary"),
+        (summary if summary_chars is None else F.substring(summary, 1, summary_chars)).alias("summary"),
         F.coalesce(
             F.upper(blank_to_null(F.col("database_specific.severity"))), first_score, F.lit("UNKNOWN")
         ).alias("severity"),

@@ -1,6 +1,7 @@
 """Small hand-made frames with known answers, and brute-force comparisons."""
 
 import datetime as dt
+import json
 import math
 import os
 import random
@@ -16,6 +17,7 @@ from bomatlas.operators import compare, cost, evaluation, exposure, ingest_stats
 from bomatlas.operators import retrieval, search, trends
 from bomatlas.operators.eol import eol_status
 from bomatlas.operators.ranking import percentiles, top_per_group
+from bomatlas.sources import refdata
 from bomatlas.sources.refdata import ADVISORY_SCHEMA, advisory_package_name
 from tests.test_sources import fact_row
 
@@ -39,12 +41,42 @@ def test_repo_matches_with_any_of_its_versions(spark):
     assert [(r.version_raw, r.repos) for r in answer["top_versions"].collect()] == [("4.18.2", 2), ("1.5.0", 1)]
 
 
-def test_page_is_clamped(spark):
+def test_pages_are_as_large_as_asked(spark):
     fact = npm(spark, [(f"o/r{i:03}", "1.0.0") for i in range(600)])
-    first = search.search_dependency(fact, None, "express", "npm", limit=999_999, offset=-5)["repos"].collect()
+    first = search.search_dependency(fact, None, "express", "npm", limit=500)["repos"].collect()
     assert len(first) == 500 and {r.next_offset for r in first} == {500}
     rest = search.search_dependency(fact, None, "express", "npm", limit=500, offset=500)["repos"].collect()
     assert len(rest) == 100 and {r.next_offset for r in rest} == {None}
+    assert search.search_dependency(fact, None, "express", "npm", limit=999_999)["repos"].count() == 600
+    for bad in ({"limit": 0}, {"offset": -5}):
+        with pytest.raises(ValueError):
+            search.search_dependency(fact, None, "express", "npm", **bad)
+
+
+def test_pages_reach_the_last_entry(spark):
+    entries = spark.range(100_700).select(
+        F.lit("npm").alias("ecosystem"), F.lit("x").alias("package_key"),
+        F.format_string("o/r%06d", "id").alias("repo_full_name"), F.lit("k").alias("version_sort_key"),
+        F.lit("1").alias("version_raw"), F.lit("release").alias("version_kind"),
+    )
+    seen, offset = 0, 0
+    while offset is not None:
+        row = search.page(entries, 50_000, offset).agg(
+            F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.max("next_offset").alias("more")
+        ).first()
+        assert (row.low, row.high) == (offset + 1, offset + row.n)
+        seen, offset = seen + row.n, row.more
+    assert seen == 100_700
+
+
+def test_summary_answers_every_watched_package(spark):
+    fact = npm(spark, [("a/1", "4.18.2"), ("a/2", "1.0.0")])
+    watch = spark.createDataFrame(
+        [("npm", "express", "<2", False), ("npm", "no-such-package", "<2", False), ("npm", "left-pad", "latest", False)],
+        "ecosystem string, package_key string, version_range string, include_prereleases boolean",
+    )
+    got = {r.package_key: (r.total_repo_count, r.matched_repo_count, r.error) for r in search.search_summary(fact, watch).collect()}
+    assert got == {"express": (2, 1, None), "no-such-package": (0, 0, None), "left-pad": (0, None, "unreadable version range")}
 
 
 def test_argument_checks(spark):
@@ -90,8 +122,10 @@ def test_exposure(spark):
     fact = npm(spark, [(f"o/r{i}", "2.5.11") for i in range(5)] + [("o/z", "4.18.2")])
     advisories = spark.createDataFrame(
         [("GHSA-1", ["x", "cve-2020-1"], "", "d" * 300, None, None,
-          [("npm", "express", "0", "3.0.0", None), ("npm", "express", None, None, ["2.5.11"])]),
-         ("GHSA-2", None, "s", "d", [("CVSS", "CVSS:3.1")], ("low",), [("Elsewhere", "express", "0", "9", None)])],
+          [(("npm", "express"), [("SEMVER", [("0", None, None), (None, "3.0.0", None)])], None),
+           (("npm", "express"), None, ["2.5.11"])]),
+         ("GHSA-2", None, "s", "d", [("CVSS", "CVSS:3.1")], ("low",),
+          [(("Elsewhere", "express"), [("SEMVER", [("0", None, None), (None, "9", None)])], None)])],
         ADVISORY_SCHEMA,
     )
     rows = exposure.findings(fact, advisories).collect()
@@ -104,6 +138,28 @@ def test_exposure(spark):
     assert name.select(advisory_package_name(F.col("e"), F.col("n")).alias("n")).first().n == "g:a/b"
 
 
+def test_advisory_spans(spark, tmp_path):
+    """The published format: several spans in a range, last_affected, open ends, commits, unknown ecosystems."""
+    events = lambda *pairs: [{k: v} for k, v in pairs]
+    dump = [
+        {"id": "A", "affected": [{"package": {"ecosystem": "npm", "name": "express"}, "ranges": [
+            {"type": "SEMVER", "events": events(("introduced", "1.0.0"), ("fixed", "1.5.0"), ("introduced", "2.0.0"), ("last_affected", "2.3.0"))},
+            {"type": "GIT", "events": events(("introduced", "0"))}]}]},
+        {"id": "B", "affected": [{"package": {"ecosystem": "npm", "name": "express"}, "ranges": [{"type": "SEMVER", "events": events(("introduced", "5"))}]}]},
+        {"id": "C", "affected": [{"package": {"ecosystem": "npm", "name": "express"}, "ranges": [{"type": "SEMVER", "events": events(("fixed", "0.5"))}]}]},
+        {"id": "D", "affected": [{"package": {"ecosystem": "Elsewhere", "name": "x"}}, {"package": {"ecosystem": "PyPI", "name": "Flask"}, "versions": ["1.0"]}]},
+        {"id": "E", "affected": [{"package": {"ecosystem": "npm", "name": "express"}, "ranges": [{"type": "SEMVER", "events": events(("introduced", "0"), ("fixed", "unreadable"))}]}]},
+    ]
+    (tmp_path / "dump.json").write_text("\n".join(json.dumps(a) for a in dump))
+    advisories = refdata.read_advisories(spark, str(tmp_path))
+    used = [f"{v}.0" for v in ("0.4", "0.5", "0.9", "1.0", "1.4", "1.5", "2.0", "2.3", "2.4", "5.0", "9.0")]
+    fact = npm(spark, [(f"o/r{i}", v) for i, v in enumerate(used)]).unionByName(fact_row(spark, [("o/p", "pkg:pypi/flask@1.0", "2025-01-01")]))
+    hits = exposure.exposed(exposure.identities(exposure.scope(fact)), advisories).collect()
+    got = sorted((r.id, r.version_raw) for r in hits)
+    assert got == [("A", "1.0.0"), ("A", "1.4.0"), ("A", "2.0.0"), ("A", "2.3.0"), ("B", "5.0.0"), ("B", "9.0.0"), ("C", "0.4.0"), ("D", "1.0")]
+    assert [tuple(r) for r in refdata.unmapped_packages(advisories).collect()] == [("Elsewhere", 1)]
+
+
 def test_eol(spark):
     cycles = spark.createDataFrame(
         [("django", "5.2", "2099-01-01", ""), ("django", "1.11", "2020-04-01", ""), ("django", "1.1", "true", ""),
@@ -141,7 +197,7 @@ def test_trends(spark):
 def test_export_totals(spark):
     frame = by_repo(spark, [("o/r", e, n, n, "1", "release", None) for e, n in (("npm", "a"), ("npm", "b"), ("gem", "c"))])
     exported = listing.sbom_export(frame, "https://x/", limit=2)
-    rows = exported.orderBy("rank").collect()
+    rows = exported.orderBy("ecosystem", "package_name").collect()
     assert [(r.ecosystem, r.package_name) for r in rows] == [("gem", "c"), ("npm", "a")]
     assert (rows[0].dependency_count, rows[0].returned, rows[0].truncated) == (3, 2, True)
     assert rows[0].sbom_source_url == "https://x/o/r.json.gz"

@@ -413,10 +413,14 @@ def _(spark, d):
 _SUMMARY = (
     _WATCH + f", totals AS (SELECT ecosystem, package_key, count(*) AS total_repo_count, {_EXCLUDED} FROM rep GROUP BY ALL), "
     "matched AS (SELECT ecosystem, package_key, count(*) AS m FROM best GROUP BY ALL) "
-    "SELECT w.ecosystem, w.package_key, w.version_range, t.total_repo_count, coalesce(m.m, 0) AS matched_repo_count, "
-    "t.declared_range, t.empty_version, t.other_noncomparable, "
+    "SELECT w.ecosystem, w.package_key, w.version_range, "
+    "CASE WHEN w.version_range NOT IN (SELECT version_range FROM bounds) THEN 'unreadable version range' END AS error, "
+    "coalesce(t.total_repo_count, 0) AS total_repo_count, "
+    "CASE WHEN w.version_range IN (SELECT version_range FROM bounds) THEN coalesce(m.m, 0) END AS matched_repo_count, "
+    "coalesce(t.declared_range, 0) AS declared_range, coalesce(t.empty_version, 0) AS empty_version, "
+    "coalesce(t.other_noncomparable, 0) AS other_noncomparable, "
     "w.ecosystem NOT IN ('maven', 'github', 'githubactions') AS range_exact "
-    "FROM watch w JOIN totals t USING (ecosystem, package_key) LEFT JOIN matched m USING (ecosystem, package_key)"
+    "FROM watch w LEFT JOIN totals t USING (ecosystem, package_key) LEFT JOIN matched m USING (ecosystem, package_key)"
 )
 
 
@@ -549,7 +553,7 @@ def _(spark, d):
 @query(
     "package_popularity",
     oracle(POPULARITY_SQL + " SELECT * FROM popularity WHERE ecosystem = 'npm' AND contains(package_key, 'bolt') "
-           "ORDER BY repo_count DESC, package_key, ecosystem LIMIT 500"),
+           "ORDER BY repo_count DESC, package_key, ecosystem LIMIT 999"),
 )
 def _(spark, d):
     ix = fx.index(spark, d)
@@ -580,12 +584,12 @@ def _(spark, d):
 
 @query(
     "sbom_export",
-    oracle("SELECT e.*, 'https://sbom.example.org/' || repo_full_name || '.json.gz' AS sbom_source_url FROM ("
-           + _listing_sql(5000) + ") e"),
+    oracle("SELECT repo_full_name, ecosystem, package_name, version_raw, version_kind, license_id, "
+           "count(*) OVER (PARTITION BY repo_full_name) AS dependency_count, count(*) OVER (PARTITION BY repo_full_name) AS returned, "
+           "FALSE AS truncated, 'https://sbom.example.org/' || repo_full_name || '.json.gz' AS sbom_source_url FROM cur"),
 )
 def _(spark, d):
-    exported = listing.sbom_export(fx.index(spark, d).by_repo, fx.SBOM_BASE_URL)
-    return exported.withColumnRenamed("rank", "pos").withColumns(big("pos"))
+    return listing.sbom_export(fx.index(spark, d).by_repo, fx.SBOM_BASE_URL)
 
 
 @query(
@@ -689,9 +693,19 @@ def _(spark, d):
     "WITH " + fx.FACT_SQL + _ADVISED + "SELECT id, ecosystem, package_key, introduced, fixed, exact_version FROM keyed",
 )
 def _(spark, d):
-    return refdata.affected_packages(fx.advisories(spark, d)).withColumn(
-        "exact_version", F.get("versions", F.lit(0))
-    ).drop("versions")
+    advisories = fx.advisories(spark, d)
+    keys = ["id", "ecosystem", "package_key"]
+    exact = refdata.affected_versions(advisories).withColumnRenamed("version_raw", "exact_version")
+    return refdata.affected_spans(advisories).drop("last_affected").join(exact, keys, "full_outer")
+
+
+@query(
+    "src_refdata_unmapped",
+    "WITH adv AS (" + fx.for_duckdb(fx.ADVISORIES_SQL) + ") SELECT advisory_ecosystem, count(*) AS entries FROM adv "
+    "WHERE advisory_ecosystem = 'Elsewhere' GROUP BY 1",
+)
+def _(spark, d):
+    return refdata.unmapped_packages(fx.advisories(spark, d))
 
 
 def _exposure(name, by):
@@ -776,11 +790,10 @@ def _(spark, d):
 
 @query(
     "src_refdata_eol",
-    "SELECT product, cycle, eol, latest FROM (" + fx.for_duckdb(fx.EOL_SQL) + ") c WHERE product IN (SELECT product FROM ("
-    + fx.for_duckdb(fx.EOL_SQL) + ") x GROUP BY product HAVING count(*) <= 5000)",
+    "SELECT product, cycle, eol, latest FROM (" + fx.for_duckdb(fx.EOL_SQL) + ") c",
 )
 def _(spark, d):
-    return refdata.usable_cycles(fx.eol_cycles(spark, d))
+    return fx.eol_cycles(spark, d)
 
 
 @query(

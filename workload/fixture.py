@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bomatlas.plans.index import DependencyIndex, open_index, publish
 from bomatlas.session import apply_settings, run_path
+from bomatlas.sources import refdata
 from bomatlas.sources.feed import normalise_feed
 from bomatlas.functions.text import split_once
 from bomatlas.sources.sbom import explode_libraries, join_repo_metadata, to_fact
@@ -165,11 +166,14 @@ FROM {events}
 # One range per package of the index.
 WATCH_SQL = r"""
 SELECT ecosystem, package_key,
-  CASE length(package_key) % 8 WHEN 0 THEN '<2' WHEN 1 THEN '>=4 <5' WHEN 2 THEN '^3.17.0'
+  CASE WHEN length(package_key) % 19 = 0 THEN 'latest' ELSE CASE length(package_key) % 8
+    WHEN 0 THEN '<2' WHEN 1 THEN '>=4 <5' WHEN 2 THEN '^3.17.0'
     WHEN 3 THEN '~2.10' WHEN 4 THEN '4.x' WHEN 5 THEN '=3.8.2' WHEN 6 THEN '>1, <=6.30'
-    ELSE '1.2.3.4' END AS version_range,
+    ELSE '1.2.3.4' END END AS version_range,
   length(package_key) % 3 = 0 AS include_prereleases
 FROM {packages}
+UNION ALL
+SELECT ecosystem, concat(package_key, '-unused'), '<2', FALSE FROM {packages} WHERE length(package_key) % 16 = 1
 """
 
 # Summary documents: one per text, addressed by source and number.
@@ -231,6 +235,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_LANDED[key])
 
 
+def _landed_json(rows: DataFrame, sf_dir: str, name: str) -> str:
+    """A folder of JSON lines, written once a session as any delivered source."""
+    spark = rows.sparkSession
+    key = (spark.sparkContext.applicationId, f"{name} {sf_dir}")
+    if key not in _LANDED:
+        path = run_path(spark, name)
+        rows.write.json(path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested bills of materials: one per order and snapshot, of at most a dozen libraries."""
     library = F.struct(
@@ -265,12 +280,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eol_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, EOL_SQL.replace("explode_products", f"explode(array({_PRODUCTS}))"))
+    rows = derive(spark, sf_dir, EOL_SQL.replace("explode_products", f"explode(array({_PRODUCTS}))"))
+    return refdata.read_eol_cycles(spark, _landed_json(rows, sf_dir, "eol"))
 
 
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat rows in the nested shape of an advisory dump."""
-    return derive(spark, sf_dir, ADVISORIES_SQL).select(
+    """The flat rows as a published advisory dump: written as JSON lines, read back by the library."""
+    dump = derive(spark, sf_dir, ADVISORIES_SQL).select(
         "id",
         F.array_compact(F.array(F.concat(F.lit("GHSA-"), "id"), "cve_alias")).alias("aliases"),
         "summary",
@@ -281,14 +297,26 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("own_severity").alias("severity")).alias("database_specific"),
         F.array(
             F.struct(
-                F.col("advisory_ecosystem").alias("ecosystem"),
-                F.col("advisory_package").alias("name"),
-                "introduced",
-                "fixed",
+                F.struct(
+                    F.col("advisory_ecosystem").alias("ecosystem"), F.col("advisory_package").alias("name")
+                ).alias("package"),
+                F.when(
+                    F.col("introduced").isNotNull(),
+                    F.array(
+                        F.struct(
+                            F.lit("ECOSYSTEM").alias("type"),
+                            F.array(
+                                F.struct("introduced", F.lit(None).cast("string").alias("fixed")),
+                                F.struct(F.lit(None).cast("string").alias("introduced"), "fixed"),
+                            ).alias("events"),
+                        )
+                    ),
+                ).alias("ranges"),
                 F.array_compact(F.array("exact_version")).alias("versions"),
             )
         ).alias("affected"),
     )
+    return refdata.read_advisories(spark, _landed_json(dump, sf_dir, "advisories"))
 
 
 def exploded_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
