@@ -9,9 +9,9 @@ from bomatlas.operators.ranking import top_per_group
 from bomatlas.operators.search import concrete, known_ecosystem, of_org, of_package
 from bomatlas.sources.refdata import advisory_details, affected_ranges, affected_versions
 
-# List sizes of a report.
+# List sizes of a report where the caller names none.
 SAMPLE_REPOS = 25
-MAX_FINDINGS = 200
+REPORT_FINDINGS = 200
 
 IDENTITY = ["ecosystem", "package_key", "version_raw"]
 
@@ -39,15 +39,15 @@ def scope(fact: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def sample_repos(fact: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Up to 25 repositories per scope row, the first by name.
+def sample_repos(fact: DataFrame, by: list[str] | None = None, names: int = SAMPLE_REPOS) -> DataFrame:
+    """Up to ``names`` repositories per scope row, the first by name.
 
-    They are ranked first and only then collected, so an array holds 25 names at most.
+    They are ranked first and only then collected, so an array holds so many at most.
     """
     keys = [*(by or []), *IDENTITY]
     pairs = concrete(fact).select(*keys, "repo_full_name").distinct()
     return (
-        top_per_group(pairs, keys, [F.col("repo_full_name")], SAMPLE_REPOS)
+        top_per_group(pairs, keys, [F.col("repo_full_name")], names)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("repo_full_name")).alias("repos_sample"))
     )
@@ -105,10 +105,17 @@ def findings(fact: DataFrame, advisories: DataFrame, by: list[str] | None = None
     )
 
 
-def exposure_report(fact: DataFrame, advisories: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The first 200 findings per scope, most repositories first, with sampled names.
+def exposure_report(
+    fact: DataFrame,
+    advisories: DataFrame,
+    by: list[str] | None = None,
+    limit: int = REPORT_FINDINGS,
+    names: int = SAMPLE_REPOS,
+) -> DataFrame:
+    """The first ``limit`` findings per scope, most repositories first, with sampled names.
 
-    ``vulnerable_versions`` counts all findings of the scope, before the cut.
+    ``vulnerable_versions`` counts all findings of the scope, before the cut. Names are
+    sampled for the findings shown only.
     """
     by = by or []
     scoped = scope(fact, by)
@@ -119,11 +126,12 @@ def exposure_report(fact: DataFrame, advisories: DataFrame, by: list[str] | None
     order = [F.desc("n"), F.asc("ecosystem"), F.asc("package_key"), F.asc("version_raw")]
     if by:
         totals = vulnerable.groupBy(*by).agg(F.count("*").alias("vulnerable_versions"))
-        shown = top_per_group(vulnerable, by, order, MAX_FINDINGS).drop("rank").join(totals, by)
+        shown = top_per_group(vulnerable, by, order, limit).drop("rank").join(totals, by)
     else:
         total = vulnerable.agg(F.count("*")).scalar()
-        shown = vulnerable.orderBy(*order).limit(MAX_FINDINGS).withColumn("vulnerable_versions", total)
-    return shown.join(sample_repos(fact, by), [*by, *IDENTITY]).withColumnRenamed(
+        shown = vulnerable.orderBy(*order).limit(limit).withColumn("vulnerable_versions", total)
+    of_shown = fact.join(shown.select(*by, *IDENTITY), [*by, *IDENTITY], "left_semi")
+    return shown.join(sample_repos(of_shown, by, names), [*by, *IDENTITY]).withColumnRenamed(
         "n", "affected_repo_count"
     )
 
@@ -143,11 +151,11 @@ def vulnerability_exposure(
     """
     if package:
         if not ecosystem:
-            raise ValueError("vulnerability_exposure by package requires an ecosystem")
+            raise ValueError("name the package's ecosystem as well")
         return exposure_report(of_package(fact, known_ecosystem(ecosystem), package), advisories)
     if repo_full_name:
         rows = by_repo.where(F.col("repo_full_name") == repo_full_name)
         return exposure_report(rows, advisories)
     if org:
         return exposure_report(of_org(by_repo, org), advisories)
-    raise ValueError("vulnerability_exposure requires a package with ecosystem, a repository or an org")
+    raise ValueError("choose a scope: package, repository or organisation")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 _NATIVE_LIMIT = 1000
 _SLICES = 64
+# Buckets a group's values are cut into for percentiles.
+_BUCKETS = 64
 
 
 def top_per_group(
@@ -41,25 +43,32 @@ def percentiles(
     value: str,
     points: dict[str, float],
     method: str = "linear",
-    bucket_width: float = 1.0,
+    buckets: int = _BUCKETS,
 ) -> DataFrame:
     """Exact percentiles per group, one column per entry of ``points`` (0..1).
 
     ``method="linear"`` interpolates between neighbours; ``"floor"`` takes the value at
     index ``min(floor(n * p), n - 1)``.
 
-    Rows are counted per (group, value) before anything else, and the running count is
-    built in two levels: per bucket of values, then inside each bucket. So a group is
-    never sorted in one task, however many rows or distinct values it has.
+    Rows are counted per (group, value) before anything else. The running count is then
+    built in two levels, per bucket of values and inside each bucket. Buckets are cut at
+    approximate quantiles of the group's own distinct values, so each holds about as many of
+    them, whatever the scale of the values; where the cuts fall doesn't change the result.
     """
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_bucket", F.floor(F.col("_v") / F.lit(float(bucket_width))))
     )
+    cuts = F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts")
+    if keys:
+        counted = counted.join(counted.groupBy(*keys).agg(cuts), keys)
+    else:  # a few dozen numbers
+        found = counted.agg(cuts).first()[0] or []
+        counted = counted.withColumn("_cuts", F.array(*[F.lit(c) for c in found]).cast("array<double>"))
+    counted = counted.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
+    sums = (
         counted.groupBy(*keys, "_bucket")
         .agg(F.sum("_n").alias("_in_bucket"))
         .withColumns(
@@ -74,7 +83,7 @@ def percentiles(
         Window.unboundedPreceding, 0
     )
     # NULL group keys would not match in an equi join; callers pass non-null keys.
-    ranked = counted.join(buckets, [*keys, "_bucket"]).withColumn(
+    ranked = counted.join(sums, [*keys, "_bucket"]).withColumn(
         "_upto", F.col("_offset") + F.sum("_n").over(within)
     )
 

@@ -235,10 +235,10 @@ def search_dependency(
     ``summary``, ``top_versions`` and ``repos``.
     """
     if not package.strip():
-        raise ValueError("package is required")
+        raise ValueError("name a package")
     if ecosystem is None:
         if version_range:
-            raise ValueError("version_range requires an ecosystem")
+            raise ValueError("a range needs the ecosystem its versions belong to")
         return {"ecosystems": ecosystem_breakdown(popularity, package.strip())}
     ecosystem = known_ecosystem(ecosystem)
     rows = of_package(fact, ecosystem, package.strip())

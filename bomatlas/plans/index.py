@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bomatlas.operators import summaries
@@ -23,6 +23,7 @@ class DependencyIndex:
     repos: DataFrame
     by_repo: DataFrame
     date: str
+    stats: dict[str, int] | None = None
 
 
 _SUMMARIES = {
@@ -32,7 +33,7 @@ _SUMMARIES = {
 }
 
 
-def _fact_path(base: str) -> str:
+def fact_path(base: str) -> str:
     return f"{base}/dependencies"
 
 
@@ -41,45 +42,48 @@ def _summary_path(base: str, name: str, date: str) -> str:
 
 
 def publish(
-    spark: SparkSession, libraries: DataFrame, ingested_date: Column, base: str, date: str
+    spark: SparkSession, libraries: DataFrame, ingested_date: Column, base: str, date: str, files: int | None = None
 ) -> DependencyIndex:
     """Store the snapshots of exploded ``libraries`` and serve the one of ``date``.
 
-    Summaries are built from the stored partition and written before the view moves, so
-    a job that dies on the way leaves yesterday's answers in place.
+    ``stats`` of the result counts the rows while they are written, without a further scan.
     """
-    fact = to_fact(libraries, ingested_date, layout=tables.clustered)
-    tables.write_snapshot(fact, _fact_path(base), laid_out=True)
-    stored = tables.snapshot(spark, _fact_path(base), date)
+    counted = Observation()
+    fact = to_fact(libraries, ingested_date, layout=lambda rows: tables.ranged(rows, files)).observe(
+        counted, F.count("*").alias("rows"), F.count_if("comparable").alias("comparable")
+    )
+    tables.write_snapshot(fact, fact_path(base), laid_out=True)
+    build_summaries(spark, base, date, files)
+    tables.serve(spark, base, date)
+    return replace(open_index(spark, base), stats=counted.get)
+
+
+def build_summaries(spark: SparkSession, base: str, date: str, files: int | None = None) -> None:
+    """The summaries of one stored snapshot, beside those of other dates; safe to repeat."""
+    stored = tables.snapshot(spark, fact_path(base), date)
     for name, build in _SUMMARIES.items():
         build(stored).write.mode("overwrite").parquet(_summary_path(base, name, date))
     listing = stored.select(
         *summaries.dependencies_by_repo(stored).columns, "version_sort_key", "is_prerelease"
     )
-    tables.clustered_by_repo(listing).write.mode("overwrite").parquet(
+    tables.clustered_by_repo(listing, files).write.mode("overwrite").parquet(
         _summary_path(base, "dependencies_by_repo", date)
     )
-    tables.serve(spark, _fact_path(base), date)
-    return open_index(spark, base, date)
 
 
-def open_index(spark: SparkSession, base: str, date: str) -> DependencyIndex:
-    """The stored tables as frames; nothing is computed."""
+def open_index(spark: SparkSession, base: str, date: str | None = None) -> DependencyIndex:
+    """The stored tables as frames, of ``date`` or of the snapshot served last."""
+    date = date or tables.served_date(spark, base)
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(_summary_path(base, name, date))
 
     return DependencyIndex(
-        fact=tables.read_fact(spark, _fact_path(base)),
-        current=tables.snapshot(spark, _fact_path(base), date),
+        fact=tables.read_fact(spark, fact_path(base)),
+        current=tables.snapshot(spark, fact_path(base), date),
         popularity=read("pkg_popularity"),
         license_rollup=read("license_rollup"),
         repos=read("repos"),
         by_repo=read("dependencies_by_repo"),
         date=date,
     )
-
-
-def latest_date(fact: DataFrame) -> str:
-    """The newest snapshot, out of partition values."""
-    return str(fact.agg(F.max("ingested_date")).first()[0])

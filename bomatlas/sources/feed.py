@@ -12,12 +12,16 @@ RAW_FEED_SCHEMA = "html_url string, pushed_at string, full_name string"
 
 
 def read_feed(spark: SparkSession, path: str, schema: str = FEED_SCHEMA) -> DataFrame:
-    """A JSON array (or JSON lines) of repositories with their position in the feed."""
+    """JSON arrays of repositories with their ``position``: the file's name, then the place in it.
+
+    A file is read by one task, so places rise along it; which task reads which file does
+    not matter. Later files, by name, come after earlier ones.
+    """
     return (
         spark.read.schema(schema)
         .option("multiLine", True)
         .json(path)
-        .withColumn("position", F.monotonically_increasing_id())
+        .withColumn("position", F.struct("_metadata.file_path", F.monotonically_increasing_id().alias("at")))
     )
 
 

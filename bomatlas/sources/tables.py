@@ -31,11 +31,7 @@ FACT_SCHEMA = T.StructType(
 
 
 def enforce_schema(fact: DataFrame) -> DataFrame:
-    """Exactly the 20 columns with their types; a NULL in a required one fails the job.
-
-    Columns of the right type pass through untouched, so the sort order of the rows is
-    still known to the writer.
-    """
+    """Exactly the 20 columns with their types; a NULL in a required one fails the job."""
     extra = set(fact.columns) - set(FACT_COLUMNS)
     missing = set(FACT_COLUMNS) - set(fact.columns)
     if extra or missing:
@@ -52,31 +48,45 @@ def enforce_schema(fact: DataFrame) -> DataFrame:
     ).where(F.when(complete, F.lit(True)).otherwise(problem.cast("boolean")))
 
 
-def clustered(rows: DataFrame) -> DataFrame:
-    """Rows laid out by snapshot and package, so min/max statistics prune package reads.
+_CLUSTER = ["ingested_date", "ecosystem", "package_key", "repo_full_name"]
+# Rows of one file at most; a range larger than that is written as several files.
+ROWS_PER_FILE = 5_000_000
+
+
+def ranged(rows: DataFrame, files: int | None = None) -> DataFrame:
+    """Rows dealt by snapshot and package, so min/max statistics prune package reads.
 
-    The repository is part of the range key: a package with a third of all rows is
-    spread over as many files as its size asks for.
+    The repository is part of the range key: a package with a third of all rows is spread
+    over as many ranges as its share asks for. ``files`` is their number, the session's
+    shuffle partitions without it; choose it by the bytes of a snapshot.
     """
-    order = ["ingested_date", "ecosystem", "package_key", "repo_full_name"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return rows.repartitionByRange(*([files] if files else []), *_CLUSTER)
 
 
-def clustered_by_repo(by_repo: DataFrame) -> DataFrame:
+def clustered(rows: DataFrame, files: int | None = None) -> DataFrame:
+    """:func:`ranged` rows, sorted inside each range."""
+    return ranged(rows, files).sortWithinPartitions(*_CLUSTER)
+
+
+def clustered_by_repo(by_repo: DataFrame, files: int | None = None) -> DataFrame:
     order = ["repo_full_name", "ecosystem", "package_name"]
-    return by_repo.repartitionByRange(*order).sortWithinPartitions(*order)
+    return by_repo.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
 
 
 def write_snapshot(fact: DataFrame, path: str, laid_out: bool = False) -> None:
     """Replace exactly the date partitions that occur in ``fact``; running twice is safe.
 
-    ``laid_out`` says that the rows are clustered already.
+    ``laid_out`` says that the rows are dealt by range already. They are sorted here, after
+    the last step that could lose their order; the sort begins with the partition column,
+    so the writer needs none of its own.
     """
     checked = enforce_schema(fact)
     (
-        (checked if laid_out else clustered(checked))
+        (checked if laid_out else ranged(checked))
+        .sortWithinPartitions(*_CLUSTER)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy("ingested_date")
         .parquet(path)
     )
@@ -122,8 +132,26 @@ def snapshot(spark: SparkSession, path: str, date: str) -> DataFrame:
     return read_fact(spark, path).where(F.col("ingested_date") == F.to_date(F.lit(date)))
 
 
-def serve(spark: SparkSession, path: str, date: str, view: str = "current") -> DataFrame:
-    """Point the served view at a snapshot."""
-    frame = snapshot(spark, path, date)
-    frame.createOrReplaceTempView(view)
-    return frame
+_SERVED_SCHEMA = "date string, served_at timestamp"
+
+
+def _served_path(base: str) -> str:
+    return f"{base}/served"
+
+
+def serve(spark: SparkSession, base: str, date: str) -> None:
+    """Make ``date`` the snapshot that readers of the index at ``base`` see from now on.
+
+    One row is appended to a small table, as the last step of a job. A commit is whole or
+    absent, so a job that dies before leaves the date served so far.
+    """
+    row = spark.range(1).select(F.lit(date).alias("date"), F.current_timestamp().alias("served_at"))
+    row.coalesce(1).write.mode("append").parquet(_served_path(base))
+
+
+def served_date(spark: SparkSession, base: str) -> str:
+    """The date of the last :func:`serve`, in whatever session it was called."""
+    last = spark.read.schema(_SERVED_SCHEMA).parquet(_served_path(base)).agg(F.max_by("date", "served_at")).first()[0]
+    if last is None:
+        raise ValueError(f"nothing is served at {base}")
+    return last

@@ -145,8 +145,10 @@ def test_partition_replacement_and_retention(spark, tmp_path):
         tables.write_snapshot(again, path)
     rows = sorted((str(r.ingested_date), r.repo_full_name) for r in tables.read_fact(spark, path).collect())
     assert rows == [("2025-01-01", "o/a"), ("2025-06-01", "o/b"), ("2025-06-01", "o/c")]
-    assert tables.serve(spark, path, "2025-06-01").count() == 2
-    assert spark.table("current").count() == 2
+    base = str(tmp_path / "base")
+    for date in ("2025-01-01", "2025-06-01"):
+        tables.serve(spark, base, date)
+        assert tables.served_date(spark.newSession(), base) == date
     plan = tables.snapshot(spark, path, "2025-06-01")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ingested_date" in plan
     assert tables.drop_expired(spark, path, "2025-06-01") == ["2025-01-01"]

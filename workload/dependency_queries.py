@@ -12,9 +12,10 @@ from bomatlas.functions.text import percent_decode
 from bomatlas.functions.versions import is_range_or_wildcard, is_sha, with_version_columns
 from bomatlas.operators import compare, eol, exposure, landscape, listing, search, summaries, trends
 from bomatlas.operators.ranking import top_per_group
-from bomatlas.sources import refdata
+from bomatlas.session import run_path
+from bomatlas.sources import refdata, sbom
 from bomatlas.sources.feed import normalise_feed, valid_entries, validation_stats
-from bomatlas.sources.sbom import first_license, vcs_url
+from bomatlas.sources.sbom import first_license, to_fact, vcs_url
 from workload import fixture as fx
 from workload.fixture import POPULARITY_SQL, oracle
 from workload.registry import query
@@ -142,12 +143,17 @@ def _(spark, d):
 
 @query(
     "truncate_cols",
-    "SELECT doc_id, left(text, 2048) AS purl, left(text, 512) AS version_raw FROM documents",
+    "SELECT 'o/r' || doc_id AS repo_full_name, left('pkg:npm/x@' || text, 2048) AS purl, left(text, 512) AS version_raw FROM documents",
 )
 def _(spark, d):
-    return fx.table(spark, d, "documents").select(
-        "doc_id", F.substring("text", 1, 2048).alias("purl"), F.substring("text", 1, 512).alias("version_raw")
+    """Texts in the place of package URLs and versions."""
+    name = F.concat(F.lit("o/r"), F.col("doc_id"))
+    libraries = fx.table(spark, d, "documents").select(
+        name.alias("repo_full_name"), F.lit("o").alias("org"), name.alias("repo"), F.lit(None).cast("string").alias("repo_url"),
+        F.lit(None).cast("timestamp").alias("pushed_at"), F.concat(F.lit("pkg:npm/x@"), "text").alias("purl"),
+        F.col("text").alias("version_raw"), F.lit(None).cast("string").alias("license_id"),
     )
+    return to_fact(libraries, F.lit("2025-01-01").cast("date")).select("repo_full_name", "purl", "version_raw")
 
 
 @query("flag_self_action", oracle("SELECT ecosystem, is_self_ref, is_action, count(*) AS n FROM fact GROUP BY ALL"))
@@ -990,14 +996,15 @@ def _(spark, d):
 
 @query(
     "limit_first_n_repos",
-    "SELECT o_orderkey, count(*) AS libraries FROM (" + fx.for_duckdb(fx.LINES_SQL) + ") l WHERE o_orderkey IN (SELECT DISTINCT "
-    "o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey ORDER BY o_orderkey LIMIT 100) GROUP BY 1",
+    "SELECT repo_full_name AS name, count(*) AS libraries FROM (" + fx.for_duckdb(fx.LINES_SQL) + ") l "
+    "GROUP BY o_orderkey, ingested_date, repo_full_name, vcs_url ORDER BY o_orderkey, ingested_date LIMIT 100",
 )
 def _(spark, d):
-    libraries = fx.components(spark, d).groupBy("o_orderkey").agg(
-        F.sum(F.size("components")).alias("libraries")
-    )
-    return libraries.orderBy("o_orderkey").limit(100)
+    path = run_path(spark, "limited")
+    ordered = fx.components(spark, d).orderBy("o_orderkey", "ingested_date")
+    ordered.select("name", "externalReferences", "components").coalesce(1).write.json(path)
+    first = sbom.read_aggregate(spark, path, "lines", limit=100)
+    return first.select("name", F.size("components").cast("bigint").alias("libraries"))
 
 
 @query(

@@ -342,7 +342,7 @@ def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_repo_metadata(named, normalise_feed(feed(spark, sf_dir)))
 
 
-_INDEXES: dict[tuple[str, str], tuple[str, str]] = {}
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> DependencyIndex:
@@ -355,8 +355,14 @@ def index(spark: SparkSession, sf_dir: str) -> DependencyIndex:
             spark, sf_dir, "SELECT CAST(CAST(date_trunc('year', max(l_shipdate)) AS DATE) AS STRING) AS d FROM {lineitem}"
         ).first()["d"]
         publish(spark, libraries(spark, sf_dir), F.col("ingested_date"), base, newest)
-        _INDEXES[key] = (base, newest)
-    return open_index(spark, *_INDEXES[key])
+        _INDEXES[key] = base
+    return open_index(spark, _INDEXES[key])
+
+
+def index_base(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the stored index."""
+    index(spark, sf_dir)
+    return _INDEXES[(spark.sparkContext.applicationId, sf_dir)]
 
 
 def watch_list(spark: SparkSession, popularity: DataFrame) -> DataFrame:
