@@ -34,8 +34,8 @@ from bomatlas.llm.tokens import Powers, bytes_and_offsets, gathered, mix, sets_o
 
 #: Words of an n-gram and least similarity in hundredths.
 WORDS, PERCENT = 4, 85
-#: Slots of the histogram, by the first bits of an n-gram's hash (8 MB), in chunks.
-SLOT_BITS, CHUNK = 20, 1 << 16
+#: Slots of the histogram, by the first bits of an n-gram's hash (1 MB a task), in chunks.
+SLOT_BITS, CHUNK = 18, 1 << 12
 #: Fragments of the global order; a group of candidates with more n-grams than ``GROUP_GRAMS`` in each is cut finer.
 FRAGMENTS, GROUP_GRAMS = 4, 1 << 21
 #: Rounds of tests between neighbours in a list, in different orders.
@@ -303,6 +303,13 @@ def _count_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from _emitted(out, {"set_id": pa.int64(), "others": pa.binary(), "counts": pa.binary()})
 
 
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every set that is compared, on either side."""
+    for batch in batches:
+        others = np.frombuffer(b"".join(batch.column("others").to_pylist()), np.int64)
+        yield pa.record_batch([pa.array(np.unique(np.concatenate([batch.column("set_id").to_numpy(), others])))], names=["set_id"])
+
+
 def _links(percent: int):
     """For ``mapInArrow``: sum the counts of each pair and keep those similar enough."""
 
@@ -387,7 +394,9 @@ def _tested(partners: DataFrame, segments: DataFrame, groups: DataFrame, percent
         partners.join(groups, "group")
         .select("group", F.explode(F.expr("sequence(0, cuts - 1)")).alias("part"), "set_id", blank.alias("grams"), "others")
     )
-    held = segments.join(partners.select("group").distinct(), "group", "left_semi").select("group", "part", "set_id", "grams", blank.alias("others"))
+    # Only sets that are compared now need to move; a few more do no harm.
+    involved = partners.mapInArrow(_involved, "set_id long").distinct()
+    held = probably_in(segments, "set_id", involved).select("group", "part", "set_id", "grams", blank.alias("others"))
     counts = held.unionByName(asked).repartition(buckets, "group", "part").mapInArrow(_count_overlaps, "set_id long, others binary, counts binary")
     sizes = partners.select("set_id", "others", blank.alias("counts"), "n", "ns")
     nothing = [F.lit(None).cast("int").alias("n"), blank.alias("ns")]
@@ -451,7 +460,7 @@ def near_groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
     reach, and a set that only rows without an id have links nothing. Other columns aren't read.
     """
     spark = documents.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = stored(texts.mapInArrow(_survey(words), "doc_id long, n long, set_id long, chunk int, counts binary, signature binary"), "survey")
     slot_counts = np.zeros(1 << SLOT_BITS, np.int64)
@@ -482,7 +491,8 @@ def near_groups(documents: DataFrame, words: int = WORDS, percent: int = PERCENT
     groups = stored(total.select("group", cuts.alias("cuts")), "groups")
     first = sized.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(candidates.join(first, "set_id").join(groups, "group").select("doc_id", "set_id", "group", "cuts"), "wanted")
-    bodies = probably_in(texts.where("doc_id is not null"), "doc_id", wanted.select("doc_id")).join(wanted, "doc_id")
+    # Both sides grow with the corpus, so this join is by shuffle at any size.
+    bodies = probably_in(texts.where("doc_id is not null"), "doc_id", wanted.select("doc_id")).join(wanted.hint("merge"), "doc_id")
     segments = stored(bodies.mapInArrow(_segments(sent, words), "group long, part int, set_id long, grams binary"), "segments")
 
     links = done = labels = None
