@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 from bomatlas.functions.text import strip
 from bomatlas.functions.versions import EPOCH_WIDTH, SEGMENT_WIDTH, SEGMENTS, clamp_pad
 
-# Bounds on one range.
-MAX_RANGE_CHARS = 1000
-MAX_RANGE_TOKENS = 20
-
 _NUMBERS = r"^((?:[0-9]+(?:\.|$))*)"
 _BIGGEST = 10**SEGMENT_WIDTH - 1
 
@@ -49,38 +45,35 @@ def _bump_at(prefix: str, numbers: list[int]) -> int:
     return 1 if len(numbers) >= 2 else 0
 
 
+_TOKEN = re.compile(r"(?P<op>[<>]=?|=)?(?P<prefix>[\^~])?(?P<rest>.*)", re.DOTALL)
+
+
+def _comparators(token: str) -> list[tuple[str, str]]:
+    """One token: an operator and a version, a whole version, or a span of versions."""
+    op, prefix, rest = _TOKEN.fullmatch(token).group("op", "prefix", "rest")
+    # After an operator a prefix has no meaning, so the version must begin at once.
+    numbers = _numbers((prefix or "") + rest if op else rest)
+    if not numbers:
+        raise VersionRangeError(f"no version number in {token!r}")
+    if op:
+        return [(op, _key(numbers))]
+    if prefix or len(numbers) < 3:
+        at = _bump_at(prefix or "", numbers)
+        low = (numbers + [0, 0, 0])[:3]
+        return [(">=", _key(low)), ("<", _key([*low[:at], low[at] + 1]))]
+    if set("xX*") & set(token):
+        raise VersionRangeError(f"a wildcard after three numbers: {token!r}")
+    return [("=", _key(numbers))]
+
+
 def parse_version_range(text: str) -> list[tuple[str, str]]:
     """Comparators of one range; raises :class:`VersionRangeError` on a bad one."""
-    text = (text or "").strip()
-    if not text:
-        raise VersionRangeError("empty version_range")
-    if len(text) > MAX_RANGE_CHARS:
-        raise VersionRangeError(f"version_range too long (max {MAX_RANGE_CHARS} chars)")
-    if "||" in text:
-        raise VersionRangeError("OR ranges ('||') are not supported")
-    tokens = [t for t in re.split(r"[\s,]+", text) if t]
-    if len(tokens) > MAX_RANGE_TOKENS:
-        raise VersionRangeError(f"too many version constraints (max {MAX_RANGE_TOKENS})")
+    if "||" in (text or ""):
+        raise VersionRangeError("a range is one span; alternatives need a range each")
+    tokens = re.findall(r"[^\s,]+", text or "")
     if not tokens:
-        raise VersionRangeError("no comparators parsed")
-    out: list[tuple[str, str]] = []
-    for token in tokens:
-        operator, prefix, rest = re.match(r"^(>=|<=|>|<|=)?([\^~])?([\s\S]*)$", token).groups()
-        numbers = _numbers((prefix or "") + rest if operator else rest)
-        if not numbers:
-            raise VersionRangeError(f'invalid version in "{token}"')
-        if operator:
-            out.append((operator, _key(numbers)))
-        elif not prefix and len(numbers) >= 3:
-            if re.search(r"[xX*]", token):
-                raise VersionRangeError(f'invalid range "{token}"')
-            out.append(("=", _key(numbers)))
-        else:
-            at = _bump_at(prefix or "", numbers)
-            low = (numbers + [0, 0, 0])[:3]
-            high = low[:at] + [low[at] + 1]
-            out += [(">=", _key(low)), ("<", _key(high))]
-    return out
+        raise VersionRangeError("a range without any version")
+    return [comparator for token in tokens for comparator in _comparators(token)]
 
 
 def satisfies(key: Column, comparators: list[tuple[str, str]]) -> Column:
@@ -175,11 +168,7 @@ def range_comparators(text: Column) -> Column:
         ),
     )
     bounds = F.transform(numbered, _bounds)
-    valid = (
-        (F.length(text) <= MAX_RANGE_CHARS)
-        & ~F.contains(text, F.lit("||"))
-        & F.size(tokens).between(1, MAX_RANGE_TOKENS)
-    )
+    valid = ~F.contains(text, F.lit("||")) & (F.size(tokens) > 0)
     # flatten() of an array that holds a NULL is NULL, which carries an invalid token up.
     return F.when(valid, F.transform(F.flatten(bounds), _keyed))
 

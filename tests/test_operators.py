@@ -353,9 +353,9 @@ def test_evaluation(spark):
     good = spark.createDataFrame([("q", 100.0, True, True)], "query_id string, relevance_rate double, passes boolean, context_adequate boolean")
     decided = evaluation.decide(runs, good, 1000).first()
     assert (decided.p50, decided.p95, decided.p99, decided.decision) == (51.0, 96.0, 100.0, "GO")
-    assert decided.recommendations == ["All metrics meet requirements"]
+    assert decided.recommendations == ["all figures are within their limits"]
     late = evaluation.decide(runs, good, -1).first()
-    assert late.decision == "NO-GO" and late.recommendations == ["Indexing lag test timed out"]
+    assert late.decision == "NO-GO" and late.recommendations == ["index: a new document was never seen"]
 
 
 def test_metric_rules(spark):

@@ -173,8 +173,7 @@ RANGES = [
     (">=1,<3", "0.1.0 1.0.0 2.0.0 3.0.0", "1.0.0 2.0.0"),
     ("<2", "2.0.0-rc.1 2.0.0", "2.0.0-rc.1"),
 ]
-BAD_RANGES = ["", "1 || 2", "*", "latest", "v1", "- ", ">= 2", "~> 2", "1.2.3.x", " ".join(["<2"] * 21),
-              "<" + "1" * 1001, "^x", ">", ">=^1"]
+BAD_RANGES = ["", "1 || 2", "*", "latest", "v1", "- ", ">= 2", "~> 2", "1.2.3.x", "^x", ">", ">=^1"]
 
 
 def test_ranges_literal_and_column_form(spark):
@@ -205,6 +204,13 @@ def test_bad_ranges(spark):
     assert df.where(range_comparators(F.col("rng")).isNotNull()).count() == 0
 
 
+def test_long_ranges(spark):
+    text = " ".join(["<2"] * 400)
+    assert len(parse_version_range(text)) == 400
+    column = spark.createDataFrame([(text,)], "rng string").select(F.size(range_comparators(F.col("rng"))).alias("n"))
+    assert column.first().n == 400
+
+
 def slow_match(version, token):
     """Independent evaluator on integer tuples for simple tokens."""
     v = tuple((list(map(int, version.split("."))) + [0] * 6)[:6])

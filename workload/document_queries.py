@@ -639,9 +639,9 @@ def _(spark, d):
 
 @query(
     "cost_recommend",
-    _COST_WITH + ", " + _PROJECTED + "SELECT CAST(date AS VARCHAR) AS date, concat_ws('|', CASE WHEN r2_cost > total_daily * 0.3 THEN 'Storage costs are high (>30% of total).' END, "
-    "'Cache hit rate is below the target of 90%.', CASE WHEN ai_search_cost > total_daily * 0.4 THEN 'Search costs are high (>40% of total).' END, "
-    "CASE WHEN workers_cost > total_daily * 0.2 THEN 'Request volume is high.' END, CASE WHEN budget_utilization < 80 THEN 'Costs are within budget.' END) AS advice FROM projected",
+    _COST_WITH + ", " + _PROJECTED + "SELECT CAST(date AS VARCHAR) AS date, concat_ws('|', CASE WHEN r2_cost > total_daily * 0.3 THEN 'storage takes over 30% of the day' END, "
+    "'under 90% of calls are cached', CASE WHEN ai_search_cost > total_daily * 0.4 THEN 'search takes over 40% of the day' END, "
+    "CASE WHEN workers_cost > total_daily * 0.2 THEN 'requests take over 20% of the day' END, CASE WHEN budget_utilization < 80 THEN 'under 80% of the budget is used' END) AS advice FROM projected",
 )
 def _(spark, d):
     advice = F.array_join(cost.recommendations(F.lit(85.0)), "|")
