@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,6 @@ SETTINGS = {
     # The JVM never compiles methods above 8000 bytes of byte code. Projections that
     # would generate one run with their expressions split into small methods instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -53,6 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
     made = tempfile.mkdtemp(prefix="bomatlas-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set(_CHECKPOINT_DIR, made)
     return made
 

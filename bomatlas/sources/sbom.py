@@ -84,8 +84,8 @@ SPDX_SCHEMA = T.StructType(
 def check_integrity(spark: SparkSession, path: str, declared: DataFrame | None = None) -> DataFrame:
     """One row per file: path, length, is_gzip, is_complete.
 
-    ``declared`` (path, declared_length) marks a file of another size as incomplete. The
-    file bytes are pruned from the scan but for the two magic ones.
+    ``declared`` (path, declared_length) marks a file of another size as incomplete. Spark
+    reads a binary file whole, so this reads every byte, and a file must fit a task.
     """
     files = spark.read.format("binaryFile").load(path)
     checked = files.select(
@@ -107,27 +107,30 @@ def read_aggregate(
 
     ``layout="lines"`` reads one component per line, which Spark splits across tasks;
     that is the form to land a large export in. ``layout="document"`` reads whole JSON
-    documents: each file is one task, and its components are spread out right after.
-    ``limit`` keeps the first components in file order.
+    documents: each file is one record of one task, whose components are spread out right
+    after, so a document must fit a task. ``limit`` keeps the first components of all files
+    together, in the order of files' names and of places in a file.
     """
     if layout == "lines":
         components = spark.read.schema(COMPONENT_SCHEMA).json(path)
         if limit is not None:
+            # Within a file the id follows the rows; a file's parts are read in any order.
+            place = ["_metadata.file_path", "_metadata.file_block_start"]
             components = (
-                components.withColumn("_at", F.monotonically_increasing_id())
-                .orderBy("_at")
+                components.select("*", *[F.col(p).alias(f"_{i}") for i, p in enumerate(place)], F.monotonically_increasing_id().alias("_at"))
+                .orderBy("_0", "_1", "_at")
                 .limit(limit)
-                .drop("_at")
+                .drop("_0", "_1", "_at")
             )
     elif layout == "document":
         exploded = (
             spark.read.schema(AGGREGATE_SCHEMA)
             .option("multiLine", True)
             .json(path)
-            .select(F.posexplode("components").alias("_at", "c"))
+            .select(F.col("_metadata.file_path").alias("_file"), F.posexplode("components").alias("_at", "c"))
         )
         if limit is not None:
-            exploded = exploded.where(F.col("_at") < limit)
+            exploded = exploded.orderBy("_file", "_at").limit(limit)
         components = exploded.select("c.*").repartition(
             spark.sparkContext.defaultParallelism, F.col("name")
         )
