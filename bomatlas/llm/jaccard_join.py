@@ -45,7 +45,7 @@ LIST_PART = 4096
 #: Bits of a set's signature, and members up to which all pairs of a list are compared by it.
 SIGNATURE_BITS, SHORT_LIST = 1024, 64
 #: Word lookups done at once when overlaps are counted.
-COUNTED_AT_ONCE = 4 << 20
+COUNTED_AT_ONCE = 1 << 19
 
 _SIGNATURE_WORDS = SIGNATURE_BITS // 64
 _SHIFT = np.uint64(64 - SLOT_BITS)

@@ -37,9 +37,9 @@ LENGTH, PIECE = 100, 24
 #: Contents of one anchor from which its strings are dealt one by one.
 HOT_CONTENTS = 2_000
 #: Bytes of one text worked on at once; the strings of the next part follow without a gap.
-PART = 1 << 20
+PART = 1 << 19
 #: Strings put in suffix order at once.
-SORTED_AT_ONCE = 200_000
+SORTED_AT_ONCE = 50_000
 
 _WIDTH = LENGTH - PIECE + 1  # pieces in a string
 _PLACE_BITS = np.uint64(24)

@@ -1,6 +1,6 @@
 """Words of whole texts as 64-bit hashes, for code that runs inside tasks on Arrow batches.
 
-Everything here works on one batch of texts at a time, in slices of a few megabytes, so the
+Everything here works on one batch of texts at a time, in slices of half a megabyte, so the
 memory of a task doesn't depend on the size of its partition.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
