@@ -375,16 +375,24 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emitted(out, _PARTNER_TYPES)
 
 
-def _packed(pairs: DataFrame, buckets: int) -> DataFrame:
-    """Flat pairs as one row a set."""
-    names = ["set_id", "n", "group", "others", "ns", "done"]
+def _by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flat pairs as one row a set, with all its partners and their sizes."""
+    table = gathered(batches)
+    if table is None:
+        return
+    name, n, group, other, size = (table.column(c).to_numpy() for c in ("set_id", "n", "group", "other", "other_n"))
+    order = np.argsort(name, kind="stable")
+    first = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))
+    out = [
+        (name[some[0]], n[some[0]], group[some[0]], other[some].tobytes(), size[some].astype(np.int32).tobytes())
+        for some in np.split(order, first[1:])
+    ]
+    yield from _emitted(out, _PARTNER_TYPES)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [pa.array([v.tobytes() for v in batch.column(c).to_numpy()], pa.binary()) for c in ("other", "other_n")]
-            yield pa.record_batch([*(batch.column(c) for c in names[:3]), *packed, pa.nulls(batch.num_rows, pa.int64())], names=names)
 
-    return pairs.repartition(buckets, "set_id").mapInArrow(rows, _PARTNERS + ", done long").mapInArrow(_gather, _PARTNERS)
+def _packed(pairs: DataFrame, buckets: int) -> DataFrame:
+    """Distinct flat pairs as one row a set."""
+    return pairs.repartition(buckets, "set_id").mapInArrow(_by_set, _PARTNERS)
 
 
 def _tested(partners: DataFrame, segments: DataFrame, groups: DataFrame, percent: int, buckets: int) -> DataFrame:
