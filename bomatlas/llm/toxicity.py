@@ -107,7 +107,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     # At most ``rows`` pairs of numbers, so sending them beats moving every text.
     texts = documents.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
     features = texts.mapInArrow(_features, "doc_id long, toxic int, slots binary")
-    learned = features.coalesce(1).mapInArrow(_learn, "slot int, weight double").toArrow()
+    # The slots of a bounded number of rows meet in one task; they are found in many.
+    learned = features.repartition(1).mapInArrow(_learn, "slot int, weight double").toArrow()
     return learned.column("slot").to_numpy(), learned.column("weight").to_numpy()
 
 
