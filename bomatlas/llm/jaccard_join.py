@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ WORDS, PERCENT = 4, 85
 #: Slots of the histogram, by the first bits of an n-gram's hash (1 MB a task), in chunks.
 SLOT_BITS, CHUNK = 18, 1 << 12
 #: Fragments of the global order; a group of candidates with more n-grams than ``GROUP_GRAMS`` in each is cut finer.
-FRAGMENTS, GROUP_GRAMS = 4, 1 << 21
+FRAGMENTS, GROUP_GRAMS = 4, 1 << 19
 #: Rounds of tests between neighbours in a list, in different orders.
 ROUNDS = 2
 #: Members of a list that are handed on together.
@@ -270,27 +271,28 @@ def _count_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     table = gathered(batches)
     if table is None:
         return
-    group, part, name = (table.column(c).to_numpy() for c in ("group", "part", "set_id"))
-    grams, others = table.column("grams").to_pylist(), table.column("others").to_pylist()
-    here = np.array([g is not None for g in grams], bool)
-    rows = np.flatnonzero(here)
-    if not len(rows):
+    held, asked = table.filter(pc.is_valid(table.column("grams"))), table.filter(pc.is_valid(table.column("others")))
+    del table
+    if not held.num_rows:
         return
-    lengths = np.array([len(grams[i]) // 8 for i in rows])
-    flat = np.frombuffer(b"".join(grams[i] for i in rows), np.uint64)
-    known, flat = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    keys = np.sort(owner * len(known) + flat)
+    grams = held.column("grams").combine_chunks()
+    lengths = pc.binary_length(grams).to_numpy() // 8
+    first = grams.slice(0, 1).buffers()
+    begin = int(np.frombuffer(first[1], np.int32)[grams.offset])
+    known, flat = np.unique(np.frombuffer(first[2], np.uint8)[begin : begin + 8 * int(lengths.sum())].view(np.uint64), return_inverse=True)
+    del first, grams
+    keys = np.sort(np.repeat(np.arange(len(lengths)), lengths) * len(known) + flat)
     starts = np.append(0, np.cumsum(lengths))
-    where = {(int(part[i]), int(name[i])): k for k, i in enumerate(rows)}
+    where = {key: k for k, key in enumerate(zip(*(held.column(c).to_pylist() for c in ("part", "set_id"))))}
+    part, name, others = (asked.column(c).to_pylist() for c in ("part", "set_id", "others"))
     out: list[tuple] = []
-    for i in np.flatnonzero(~here):
-        mine = where.get((int(part[i]), int(name[i])))
+    for i in range(len(name)):
+        mine = where.get((part[i], name[i]))
         partners = np.frombuffer(others[i], np.int64)
         counts = np.zeros(len(partners), np.int32)
         if mine is not None:
             own = flat[starts[mine] : starts[mine + 1]]
-            theirs = np.array([where.get((int(part[i]), int(p)), -1) for p in partners])
+            theirs = np.array([where.get((part[i], p), -1) for p in partners.tolist()])
             step = max(1, COUNTED_AT_ONCE // max(len(own), 1))
             for a in range(0, len(partners), step):
                 some = theirs[a : a + step]
