@@ -42,7 +42,7 @@ FRAGMENTS, GROUP_GRAMS = 4, 1 << 19
 #: Rounds of tests between neighbours in a list, in different orders.
 ROUNDS = 2
 #: Members of a list that are handed on together.
-LIST_PART = 4096
+LIST_PART = 1024
 #: Bits of a set's signature, and members up to which all pairs of a list are compared by it.
 SIGNATURE_BITS, SHORT_LIST = 1024, 64
 #: Word lookups done at once when overlaps are counted.
@@ -338,19 +338,23 @@ def _links(percent: int):
 
 
 def _apart(percent: int):
-    """For ``mapInArrow``: partners of a set in one part of a list, in other groups and of fitting size."""
+    """For ``mapInArrow``: in a row, a part of a list and some of its sets that ask: who may link with whom."""
+
+    def signatures(rows: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, _SIGNATURE_WORDS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                sets, labels, ns = (np.array(row[c], np.int64) for c in ("sets", "labels", "sizes"))
-                signs = np.frombuffer(b"".join(row["signs"]), np.uint64).reshape(-1, _SIGNATURE_WORDS)
-                own = np.frombuffer(row["signature"], np.uint64)
-                fits = (labels != row["label"]) & _may_link(signs, own, ns, np.int64(row["n"]), percent)
-                if fits.any():
-                    out.append((row["set_id"], row["n"], row["group"], sets[fits].tobytes(), ns[fits].astype(np.int32).tobytes()))
-            yield from _emitted(out, _PARTNER_TYPES)
+            for i in range(batch.num_rows):  # one at a time: a row may be a thousand sets
+                (row,) = batch.slice(i, 1).to_pylist()
+                sets, labels, sizes = (np.array([m[c] for m in row["members"]], np.int64) for c in ("set_id", "label", "n"))
+                signs = signatures([m["signature"] for m in row["members"]])
+                out: list[tuple] = []
+                for own, sign in zip(row["asking"], signatures([a["signature"] for a in row["asking"]])):
+                    fits = (labels != own["label"]) & _may_link(signs, sign, sizes, np.int64(own["n"]), percent)
+                    if fits.any():
+                        out.append((own["set_id"], own["n"], own["group"], sets[fits].tobytes(), sizes[fits].astype(np.int32).tobytes()))
+                yield from _emitted(out, _PARTNER_TYPES)
 
     return rows
 
@@ -449,13 +453,15 @@ def _still_apart(lists: DataFrame, labels: DataFrame, done: DataFrame, percent:
     sizes = rows.groupBy("gram", "label").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("gram").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     asking = rows.join(largest.select("gram", F.col("top.label").alias("_top")), "gram").where("label <> _top")
-    part = F.pmod(F.xxhash64("set_id"), F.greatest(F.lit(1), F.expr(f"members div {LIST_PART}"))).alias("_part")
-    parts = (
-        rows.join(largest.select("gram"), "gram", "left_semi")
-        .groupBy("gram", part)
-        .agg(F.collect_list("set_id").alias("sets"), F.collect_list("label").alias("labels"), F.collect_list("n").alias("sizes"), F.collect_list("signature").alias("signs"))
-    )
-    found = asking.select("gram", "set_id", "n", "group", "label", "signature").join(parts, "gram").mapInArrow(_apart(percent), _PARTNERS)
+
+    def parts(of: DataFrame, name: str) -> DataFrame:
+        """Lists in parts of bounded size, so a row of the join below stays small."""
+        part = F.pmod(F.xxhash64("set_id"), F.greatest(F.lit(1), F.expr(f"members div {LIST_PART}")))
+        member = F.struct("set_id", "n", "group", "label", "signature")
+        return of.groupBy("gram", part.alias("_part")).agg(F.collect_list(member).alias(name)).drop("_part")
+
+    members = parts(rows.join(largest.select("gram"), "gram", "left_semi"), "members")
+    found = parts(asking, "asking").join(members, "gram").select("asking", "members").mapInArrow(_apart(percent), _PARTNERS)
     old = done.select("set_id", F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("group"), *[F.lit(None).cast("binary").alias(c) for c in ("others", "ns")], F.col("other").alias("done"))
     return found.withColumn("done", F.lit(None).cast("long")).unionByName(old).repartition(buckets, "set_id").mapInArrow(_gather, _PARTNERS)
 
