@@ -56,6 +56,22 @@ def whole_rows(frame: DataFrame, **keys: str) -> DataFrame:
 FILTER_BITS = 25
 
 
+def _spot(value: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{value}`")), F.lit(1 << FILTER_BITS))
+
+
+def _bitmaps(ids: DataFrame) -> DataFrame:
+    """``_bucket, _bits``: one bit for each id's hash."""
+    at = ids.select(_spot(ids.columns[0]).alias("_at"))
+    return at.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+
+
+def _is_set() -> Column:
+    bit = F.bitmap_bit_position("_spot")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, (bit % 8).cast("int")) == 1
+
+
 def flag_probable(frame: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
     """``frame`` with a boolean ``flag``: ``column`` may be among the values of the only column of ``ids``.
 
@@ -63,29 +79,17 @@ def flag_probable(frame: DataFrame, column: str, ids: DataFrame, flag: str) -> D
     bounded; the more ids, the more other rows are flagged as well. Meant to stand before an
     exact join, so that the join need not move the texts of rows it would drop.
     """
-    def spot(value: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(f"`{value}`")), F.lit(1 << FILTER_BITS))
-
-    at = spot(ids.columns[0])
-    bitmaps = (
-        ids.select(at.alias("_at"))
-        .groupBy(F.bitmap_bucket_number("_at").alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
-    )
     columns = [F.col(f"`{c}`") for c in frame.columns]
-    bit = F.bitmap_bit_position("_spot")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return (
-        frame.withColumn("_spot", spot(column))
-        .withColumn("_bucket", F.bitmap_bucket_number("_spot"))
-        .join(F.broadcast(bitmaps), "_bucket", "left")
-        .select(*columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias(flag))
-    )
+    rows = frame.withColumn("_spot", _spot(column)).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    return rows.join(F.broadcast(_bitmaps(ids)), "_bucket", "left").select(*columns, F.coalesce(_is_set(), F.lit(False)).alias(flag))
 
 
 def probably_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """The rows that :func:`flag_probable` flags: none that is among ``ids`` is lost."""
-    return flag_probable(frame, column, ids, "_may").where("_may").drop("_may")
+    columns = [F.col(f"`{c}`") for c in frame.columns]
+    rows = frame.withColumn("_spot", _spot(column))
+    same = (F.bitmap_bucket_number("_spot") == F.col("_bucket")) & _is_set()
+    return rows.join(F.broadcast(_bitmaps(ids)), same).select(*columns)
 
 
 def without_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
