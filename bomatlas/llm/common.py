@@ -85,7 +85,15 @@ def flag_probable(frame: DataFrame, column: str, ids: DataFrame, flag: str) -> D
 
 
 def probably_in(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows that :func:`flag_probable` flags: none that is among ``ids`` is lost."""
+    """The rows that :func:`flag_probable` flags: none that is among ``ids`` is lost.
+
+    The flag comes from an outer join, so that no later semi join is moved below the filter.
+    """
+    return flag_probable(frame, column, ids, "_may").where("_may").drop("_may")
+
+
+def thinned(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """:func:`probably_in` as an inner join, for frames that meet no further filter by ``ids``."""
     columns = [F.col(f"`{c}`") for c in frame.columns]
     rows = frame.withColumn("_spot", _spot(column))
     same = (F.bitmap_bucket_number("_spot") == F.col("_bucket")) & _is_set()

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomatlas.llm.common import probably_in, stored, without_ids
+from bomatlas.llm.common import probably_in, stored, thinned, without_ids
 from bomatlas.llm.components import components
 from bomatlas.llm.tokens import Powers, bytes_and_offsets, gathered, mix, sets_of, slices, words_of
 
@@ -410,7 +410,7 @@ def _tested(partners: DataFrame, segments: DataFrame, groups: DataFrame, percent
     )
     # Only sets that are compared now need to move; a few more do no harm.
     involved = partners.mapInArrow(_involved, "set_id long").distinct()
-    held = probably_in(segments, "set_id", involved).select("group", "part", "set_id", "grams", blank.alias("others"))
+    held = thinned(segments, "set_id", involved).select("group", "part", "set_id", "grams", blank.alias("others"))
     counts = held.unionByName(asked).repartition(buckets, "group", "part").mapInArrow(_count_overlaps, "set_id long, others binary, counts binary")
     sizes = partners.select("set_id", "others", blank.alias("counts"), "n", "ns")
     nothing = [F.lit(None).cast("int").alias("n"), blank.alias("ns")]
