@@ -13,6 +13,7 @@ benchmark, passes more rows to that join.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomatlas.llm.common import stored, without_ids
+from bomatlas.llm.common import flag_probable, stored, whole_rows
 from bomatlas.llm.tokens import CASELESS_VALUE, NO_LETTER, Powers, bytes_and_offsets, mix, slices, words_of
 
 #: Compared (#) and ignored (-) positions: 8 of 11 to 13 words, so replaced words leave one mask whole nearby.
@@ -115,12 +116,13 @@ def _hit_rows(sent, reach: int):
                 new = np.ones(len(place), bool)
                 new[1:] = (text[place[1:]] != text[place[:-1]]) | (np.diff(place) > reach)
                 starts = np.flatnonzero(new)
-                docs, starts_at, around, seeds = [], [], [], []
+                docs, digests, starts_at, around, seeds = [], [], [], [], []
                 for a, b in zip(starts, np.append(starts[1:], len(place))):
                     t = text[place[a]]
                     first, last = words.first[t], words.first[t + 1]
                     begin = max(first, place[a] - reach)
                     docs.append(low + t)
+                    digests.append(hashlib.sha256(data[at[low + t] : at[low + t + 1]].tobytes()).hexdigest())
                     starts_at.append(begin - first)
                     around.append(words.hashes[begin : min(last, place[b - 1] + reach)].view(np.int64))
                     seeds.append([{"mask": m, "hash": h, "pos": p} for m, h, p in zip(number[a:b].tolist(), hashes[a:b].tolist(), (place[a:b] - first).tolist())])
@@ -128,24 +130,19 @@ def _hit_rows(sent, reach: int):
                     yield pa.record_batch(
                         [
                             ids.take(pa.array(docs)),
+                            pa.array(digests, pa.string()),
                             pa.array(starts_at, pa.int32()),
                             pa.array(around, pa.list_(pa.int64())),
                             pa.array(seeds, pa.list_(seed)),
                         ],
-                        names=["doc_id", "begin", "words", "seeds"],
+                        names=["doc_id", "sha", "begin", "words", "seeds"],
                     )
 
     return rows
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
-    """``doc_id, item_id, matched, item_words, share, start_word``: the test items found in documents.
-
-    One row for each (document, item), with its best place. Words are runs of letters and
-    digits, compared without case. An item of fewer words than the shortest mask can't be found. Null texts
-    are empty; null ids are ids like others. Only documents with an item at ``agree`` or more
-    of its words are returned; empty tables give an empty result. Other columns aren't read.
-    """
+def _found(documents: DataFrame, benchmark: DataFrame, agree: float) -> DataFrame:
+    """The best place of each test item in each document, a document being an id and the SHA-256 of its text."""
     spark = documents.sparkSession
     items = stored(
         benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().mapInArrow(
@@ -162,7 +159,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> D
     near = stored(
         documents.select("doc_id", "text").mapInArrow(
             _hit_rows(spark.sparkContext.broadcast(bits.tobytes()), reach),
-            f"doc_id {dict(documents.dtypes)['doc_id']}, begin int, words array<bigint>, seeds {_SEEDS}",
+            f"doc_id {dict(documents.dtypes)['doc_id']}, sha string, begin int, words array<bigint>, seeds {_SEEDS}",
         ).withColumn("row", F.expr("uuid()")),
         "hits",
     )
@@ -170,31 +167,48 @@ def leaks(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> D
     lined_up = hits.join(seeds, ["mask", "hash"]).select("row", "item_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
     # Word i of the item stands at word shift + i of the document.
     compared = (
-        lined_up.join(near.select("row", "doc_id", "begin", "words"), "row")
+        lined_up.join(near.select("row", "doc_id", "sha", "begin", "words"), "row")
         .join(items.select("item_id", "item").withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
         .select(
             "doc_id",
+            "sha",
             "item_id",
             F.greatest(F.col("shift"), F.lit(0)).alias("start_word"),
             F.size("item").alias("item_words"),
             F.expr("size(filter(item, (w, i) -> w = get(words, shift - begin + i)))").alias("matched"),
         )
     )
-    return (
-        compared.where(F.col("matched") >= agree * F.col("item_words"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("matched", "item_words", (-F.col("start_word")).alias("back"))).alias("best"))
-        .select(
-            "doc_id",
-            "item_id",
-            F.col("best.matched").cast("long").alias("matched"),
-            F.col("best.item_words").cast("long").alias("item_words"),
-            (F.col("best.matched") / F.col("best.item_words")).alias("share"),
-            (-F.col("best.back")).cast("long").alias("start_word"),
-        )
+    return _best(compared.where(F.col("matched") >= agree * F.col("item_words")), "doc_id", "sha", "item_id")
+
+
+def _best(places: DataFrame, *keys: str) -> DataFrame:
+    best = F.max(F.struct("matched", "item_words", (-F.col("start_word")).alias("back"))).alias("best")
+    return places.groupBy(*keys).agg(best).select(*keys, "best.matched", "best.item_words", (-F.col("best.back")).alias("start_word"))
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
+    """``doc_id, item_id, matched, item_words, share, start_word``: the test items found in documents.
+
+    One row for each (document, item), with its best place. Words are runs of letters and
+    digits, compared without case. An item of fewer words than the shortest mask can't be found. Null texts
+    are empty; null ids are ids like others. Only documents with an item at ``agree`` or more
+    of its words are returned; empty tables give an empty result. Other columns aren't read.
+    """
+    return _best(_found(documents, benchmark, agree), "doc_id", "item_id").select(
+        "doc_id",
+        "item_id",
+        F.col("matched").cast("long").alias("matched"),
+        F.col("item_words").cast("long").alias("item_words"),
+        (F.col("matched") / F.col("item_words")).alias("share"),
+        F.col("start_word").cast("long").alias("start_word"),
     )
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
-    """``documents`` without the rows whose ``doc_id`` holds a test item."""
-    return without_ids(documents, stored(leaks(documents, benchmark, agree).select("doc_id"), "leaks"))
+    """``documents`` without the rows whose text holds a test item; other texts of the same id, null too, stay."""
+    leaking = stored(_found(documents, benchmark, agree).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_digest")).distinct(), "leaks")
+    flagged = flag_probable(whole_rows(documents, _id="doc_id"), "_id", leaking.select("_gone"), "_may")
+    digest = F.sha2(F.coalesce(F.col("_row")["text"], F.lit("")), 256)
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_digest"))
+    checked = flagged.where("_may").withColumn("_sha", digest).join(leaking, same, "left_anti").drop("_sha")
+    return flagged.where("not _may").unionByName(checked).select("_row.*")

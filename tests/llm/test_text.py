@@ -105,6 +105,14 @@ def test_leaks_in_awkward_rows(spark):
     assert found == {(8, 1), (9, 1), (None, None)}
 
 
+def test_only_leaking_rows_of_an_id_go(spark):
+    item = prose(1, 40)
+    rows = [(None, prose(2, 50), "en", "s", 0), (None, item, "en", "s", 0), (7, item, "en", "s", 0), (7, prose(3, 50), "en", "s", 0), (7, None, "en", "s", 0)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontamination.clean(documents(spark, rows, CLASHING), bench)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(r[0]), str(r[1])) for r in rows if r[1] != item)
+
+
 # Quality model
 
 
