@@ -1,9 +1,9 @@
-"""Benchmark decontamination with spaced seeds.
+"""Benchmark decontamination with seeds that every match has.
 
-A mask of ``#`` (compared) and ``-`` (ignored) is laid over every run of words of a test item
-and of a document. Equal hashes of the compared words are a hit even if ignored words were
-replaced. A hit fixes how item and document line up; the whole item is then compared with the
-words around the hit, position by position, and counts when enough of them agree.
+Where enough words of an item agree with a document's, the others leave a run of agreeing
+words of a certain length. Runs of that length, four words or fewer, are the seeds: equal
+hashes are a hit. A hit fixes how item and document line up; the whole item is then compared
+with the words around the hit, position by position, and counts when enough of them agree.
 
 Documents are read once. A bitmap of fixed size, filled from the test items' hashes, lets a
 task drop runs that no test item has; what passes is joined with the test hashes by an
@@ -14,6 +14,7 @@ benchmark, passes more rows to that join.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,25 +25,41 @@ from pyspark.sql import functions as F
 from bomatlas.llm.common import flag_probable, stored, whole_rows
 from bomatlas.llm.tokens import CASELESS_VALUE, NO_LETTER, Powers, bytes_and_offsets, mix, slices, words_of
 
-#: Compared (#) and ignored (-) positions: 8 of 11 to 13 words, so replaced words leave one mask whole nearby.
-MASKS = ("########", "###-#--##-##", "##-#-##--#-##", "#-###--#-###")
+#: Words of the longest seed. Where at least 80% of words agree there are four agreeing words
+#: in a row, but in places of few words; see :func:`seed_words`.
+WIDEST = 4
 #: Share of an item's words that must agree at their positions.
 AGREE = 0.8
 #: The filter's size, 2**25 bits (4 MB), whatever the benchmark's size.
 FILTER_BITS = 25
 
-_SEEDS = "array<struct<mask:int,hash:bigint,pos:int>>"
+_SEEDS = "array<struct<width:int,hash:bigint,pos:int>>"
 
 
-def _masked(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
-    """The hash of each run under one mask, by the position of the run's first word."""
-    total = len(hashes) - len(mask) + 1
+def needed_words(n: int, agree: float) -> int:
+    """How many words of an item of ``n`` must agree."""
+    return max(1, math.ceil(agree * n - 1e-9))
+
+
+def seed_words(n: int, agree: float) -> int:
+    """How many words in a row agree wherever an item of ``n`` words does, :data:`WIDEST` at most.
+
+    ``k`` other words cut the ``m`` agreeing ones into ``k + 1`` runs at most, so the longest
+    run has at least ``m / (k + 1)`` words, rounded up. An item of up to four words is
+    its own seed at 80%.
+    """
+    m = needed_words(n, agree)
+    return min(WIDEST, -(-m // max(n - m + 1, 1)))
+
+
+def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of ``width`` words, by the position of its first word."""
+    total = len(hashes) - width + 1
     if total <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(total, number + 1, np.uint64)
-    for j, kind in enumerate(mask):
-        if kind == "#":
-            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + total]
+    out = np.full(total, width, np.uint64)
+    for j in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + total]
     return mix(out)
 
 
@@ -51,29 +68,26 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes & low, (hashes >> np.uint64(64 - FILTER_BITS))
 
 
-def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
-    for batch in batches:
-        data, at = bytes_and_offsets(batch.column("text"))
-        for low, high in slices(at):
-            words = words_of(data, at[low : high + 1], powers, NO_LETTER, CASELESS_VALUE)
-            seeds, counts = [], []
-            for a, b in zip(words.first[:-1], words.first[1:]):
-                rows = [
-                    {"mask": m, "hash": int(h), "pos": i}
-                    for m, mask in enumerate(MASKS)
-                    for i, h in enumerate(_masked(words.hashes[a:b], mask, m).view(np.int64))
-                ]
-                seeds.append(rows)
-                counts.append(words.hashes[a:b].view(np.int64))
-            yield pa.record_batch(
-                [
-                    batch.column("item_id").slice(low, high - low),
-                    pa.array(counts, pa.list_(pa.int64())),
-                    pa.array(seeds, pa.list_(pa.struct([("mask", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32())]))),
-                ],
-                names=["item_id", "item", "seeds"],
-            )
+def _item_rows(agree: float):
+    seed = pa.struct([("width", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            data, at = bytes_and_offsets(batch.column("text"))
+            for low, high in slices(at):
+                words = words_of(data, at[low : high + 1], powers, NO_LETTER, CASELESS_VALUE)
+                seeds, counts = [], []
+                for a, b in zip(words.first[:-1], words.first[1:]):
+                    width = seed_words(int(b - a), agree)
+                    seeds.append([{"width": width, "hash": int(h), "pos": i} for i, h in enumerate(_runs(words.hashes[a:b], width).view(np.int64))])
+                    counts.append(words.hashes[a:b].view(np.int64))
+                yield pa.record_batch(
+                    [batch.column("item_id").slice(low, high - low), pa.array(counts, pa.list_(pa.int64())), pa.array(seeds, pa.list_(seed))],
+                    names=["item_id", "item", "seeds"],
+                )
+
+    return rows
 
 
 def _filter_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,13 +99,13 @@ def _filter_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
 
 
-def _hit_rows(sent, reach: int):
+def _hit_rows(sent, widths: list[int], reach: int):
     """For ``mapInArrow``: runs of each document that pass the filter, with the words around them.
 
     Runs closer than ``reach`` share one row; it holds the words from ``reach`` before the first
     to ``reach`` after the last, so every way to line up an item with a run lies inside.
     """
-    seed = pa.struct([("mask", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32())])
+    seed = pa.struct([("width", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -103,16 +117,16 @@ def _hit_rows(sent, reach: int):
                 words = words_of(data, at[low : high + 1], powers, NO_LETTER, CASELESS_VALUE)
                 text = words.text_of()
                 found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for number, mask in enumerate(MASKS):
-                    hashes = _masked(words.hashes, mask, number)
+                for width in widths:
+                    hashes = _runs(words.hashes, width)
                     one, two = _bits(hashes)
                     hit = np.flatnonzero(table[one])
                     hit = hit[table[two[hit]]]
-                    hit = hit[text[hit] == text[hit + len(mask) - 1]]
-                    found.append((hit, np.full(len(hit), number), hashes[hit]))
-                place, number, hashes = (np.concatenate(x) for x in zip(*found))
+                    hit = hit[text[hit] == text[hit + width - 1]]
+                    found.append((hit, np.full(len(hit), width), hashes[hit]))
+                place, width_of, hashes = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(place, kind="stable")
-                place, number, hashes = place[order], number[order], hashes[order].view(np.int64)
+                place, width_of, hashes = place[order], width_of[order], hashes[order].view(np.int64)
                 new = np.ones(len(place), bool)
                 new[1:] = (text[place[1:]] != text[place[:-1]]) | (np.diff(place) > reach)
                 starts = np.flatnonzero(new)
@@ -125,7 +139,7 @@ def _hit_rows(sent, reach: int):
                     digests.append(hashlib.sha256(data[at[low + t] : at[low + t + 1]].tobytes()).hexdigest())
                     starts_at.append(begin - first)
                     around.append(words.hashes[begin : min(last, place[b - 1] + reach)].view(np.int64))
-                    seeds.append([{"mask": m, "hash": h, "pos": p} for m, h, p in zip(number[a:b].tolist(), hashes[a:b].tolist(), (place[a:b] - first).tolist())])
+                    seeds.append([{"width": w, "hash": h, "pos": p} for w, h, p in zip(width_of[a:b].tolist(), hashes[a:b].tolist(), (place[a:b] - first).tolist())])
                 if docs:
                     yield pa.record_batch(
                         [
@@ -146,7 +160,7 @@ def _found(documents: DataFrame, benchmark: DataFrame, agree: float) -> DataFram
     spark = documents.sparkSession
     items = stored(
         benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().mapInArrow(
-            _item_rows, f"item_id {dict(benchmark.dtypes)['item_id']}, item array<bigint>, seeds {_SEEDS}"
+            _item_rows(agree), f"item_id {dict(benchmark.dtypes)['item_id']}, item array<bigint>, seeds {_SEEDS}"
         ),
         "items",
     )
@@ -155,16 +169,19 @@ def _found(documents: DataFrame, benchmark: DataFrame, agree: float) -> DataFram
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for (part,) in parts:
         bits |= np.frombuffer(part, np.uint8)
+    widths = sorted(row.width for row in seeds.select("width").distinct().collect())  # four at most
+    if not widths:
+        widths = [WIDEST]
     reach = items.agg(F.max(F.size("item"))).first()[0] or 1
     near = stored(
         documents.select("doc_id", "text").mapInArrow(
-            _hit_rows(spark.sparkContext.broadcast(bits.tobytes()), reach),
+            _hit_rows(spark.sparkContext.broadcast(bits.tobytes()), widths, reach),
             f"doc_id {dict(documents.dtypes)['doc_id']}, sha string, begin int, words array<bigint>, seeds {_SEEDS}",
         ).withColumn("row", F.expr("uuid()")),
         "hits",
     )
-    hits = near.select("row", F.explode("seeds").alias("seed")).select("row", "seed.mask", "seed.hash", F.col("seed.pos").alias("at"))
-    lined_up = hits.join(seeds, ["mask", "hash"]).select("row", "item_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
+    hits = near.select("row", F.explode("seeds").alias("seed")).select("row", "seed.width", "seed.hash", F.col("seed.pos").alias("at"))
+    lined_up = hits.join(seeds, ["width", "hash"]).select("row", "item_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
     # Word i of the item stands at word shift + i of the document.
     compared = (
         lined_up.join(near.select("row", "doc_id", "sha", "begin", "words"), "row")
@@ -190,8 +207,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> D
     """``doc_id, item_id, matched, item_words, share, start_word``: the test items found in documents.
 
     One row for each (document, item), with its best place. Words are runs of letters and
-    digits, compared without case. An item of fewer words than the shortest mask can't be found. Null texts
-    are empty; null ids are ids like others. Only documents with an item at ``agree`` or more
+    digits, compared without case. An item without words can't be found; one of few words is found
+    wherever they stand in a row. Null texts are empty; null ids are ids like others. Only documents with an item at ``agree`` or more
     of its words are returned; empty tables give an empty result. Other columns aren't read.
     """
     return _best(_found(documents, benchmark, agree), "doc_id", "item_id").select(

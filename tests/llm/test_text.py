@@ -105,6 +105,29 @@ def test_leaks_in_awkward_rows(spark):
     assert found == {(8, 1), (9, 1), (None, None)}
 
 
+def test_leaks_at_exactly_the_share_that_counts(spark):
+    """Items of any length with as many words replaced as may be, against brute force."""
+    draw = random.Random(5)
+    items = [(n, prose(300 + n, n).split()) for n in [*range(1, 31), 100, 400]]
+    rows = []
+    for n, words in items:
+        for extra in (0, 1):  # one more than may be, too
+            for evenly in (True, False):
+                k = min(n, n // 5 + extra)
+                at = [min(n - 1, 5 * j + 4) for j in range(k)] if evenly else draw.sample(range(n), k)
+                rows.append(" ".join(["before", *(f"other{i}" if i in at else w for i, w in enumerate(words)), "after"]))
+    want = {}
+    for doc, text in enumerate(rows):
+        there = text.split()
+        for n, words in items:
+            most = max(sum(0 <= s + i < len(there) and there[s + i] == w for i, w in enumerate(words)) for s in range(-n, len(there)))
+            if 5 * most >= 4 * n:
+                want[doc, n] = most
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.matched for r in decontamination.leaks(documents(spark, rows), bench).collect()}
+    assert len(want) >= 64 and {k: found.get(k) for k in want} == want
+
+
 def test_only_leaking_rows_of_an_id_go(spark):
     item = prose(1, 40)
     rows = [(None, prose(2, 50), "en", "s", 0), (None, item, "en", "s", 0), (7, item, "en", "s", 0), (7, prose(3, 50), "en", "s", 0), (7, None, "en", "s", 0)]
