@@ -2,8 +2,9 @@
 
 Where enough words of an item agree with a document's, the others leave a run of agreeing
 words of a certain length. Runs of that length, four words or fewer, are the seeds: equal
-hashes are a hit. A hit fixes how item and document line up; the whole item is then compared
-with the words around the hit, position by position, and counts when enough of them agree.
+hashes are a hit. A hit fixes how item and document line up; they are then compared around it,
+position by position, along all near ways to line up that were hit: where words were inserted
+or left out, one goes on as the other. A place counts when enough words of it agree.
 
 Documents are read once. A bitmap of fixed size, filled from the test items' hashes, lets a
 task drop runs that no test item has; what passes is joined with the test hashes by an
@@ -30,6 +31,12 @@ from bomatlas.llm.tokens import CASELESS_VALUE, NO_LETTER, Powers, bytes_and_off
 WIDEST = 4
 #: Share of an item's words that must agree at their positions.
 AGREE = 0.8
+#: A part of an item is reported from so many agreeing words; a shorter item from its share of all words.
+LEAST_OVERLAP = 16
+#: Ways to line up that differ by so many inserted or missing words belong together.
+NEAR_SHIFT = 10
+#: So many ways to line up are compared at once, half of them again with the next: a bound for texts of one repeated word.
+WINDOW = 64
 #: The filter's size, 2**25 bits (4 MB), whatever the benchmark's size.
 FILTER_BITS = 25
 
@@ -37,19 +44,20 @@ _SEEDS = "array<struct<width:int,hash:bigint,pos:int>>"
 
 
 def needed_words(n: int, agree: float) -> int:
-    """How many words of an item of ``n`` must agree."""
-    return max(1, math.ceil(agree * n - 1e-9))
+    """How many words of an item of ``n`` must agree in one place."""
+    return min(LEAST_OVERLAP, max(1, math.ceil(agree * n - 1e-9)))
 
 
 def seed_words(n: int, agree: float) -> int:
     """How many words in a row agree wherever an item of ``n`` words does, :data:`WIDEST` at most.
 
     ``k`` other words cut the ``m`` agreeing ones into ``k + 1`` runs at most, so the longest
-    run has at least ``m / (k + 1)`` words, rounded up. An item of up to four words is
-    its own seed at 80%.
+    run has at least ``m / (k + 1)`` words, rounded up; the least over all places that count.
+    An item of up to four words is its own seed at 80%.
     """
-    m = needed_words(n, agree)
-    return min(WIDEST, -(-m // max(n - m + 1, 1)))
+    m = np.arange(needed_words(n, agree), max(n, 1) + 1)
+    k = np.minimum(max(n, 1) - m, np.floor(m * (1 - agree) / agree + 1e-9))
+    return int(min(WIDEST, np.ceil(m / (k + 1)).min()))
 
 
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -155,6 +163,80 @@ def _hit_rows(sent, widths: list[int], reach: int):
     return rows
 
 
+def _place(same: np.ndarray, agree: float) -> tuple[int, int, int]:
+    """The place ``[a, b)`` where at least ``agree`` of the flags are set that has most of them: how many, a, b."""
+    level = np.concatenate([[0.0], np.cumsum(same - agree)])
+    # The furthest end for each start: the highest level from there on is not below the start's.
+    later = np.maximum.accumulate(level[::-1])
+    end = len(same) - np.searchsorted(later, level - 1e-9)
+    total = np.concatenate([[0], np.cumsum(same)])
+    start = int(np.argmax(total[end] - total))
+    return int(total[end[start]] - total[start]), start, int(end[start])
+
+
+def _joined(same: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best way through ``same`` (shift, item word), changing shifts, and each step's word of the document.
+
+    Words the document has inserted are steps without agreement; item words it left out are
+    steps anyhow, as the next shift doesn't have them at their positions.
+    """
+    more = shifts[:, None] - shifts[None, :]  # of the row's shift over the column's
+    cost = np.where(more > 0, more.astype(float), -more * 1e-3)
+    cost[np.abs(more) > NEAR_SHIFT] = np.inf
+    value, back = same[:, 0].astype(float), []
+    for i in range(1, same.shape[1]):
+        ways = value[None, :] - cost
+        before = ways.argmax(axis=1)
+        back.append(before)
+        value = ways[np.arange(len(shifts)), before] + same[:, i]
+    path = [int(value.argmax())]
+    for before in reversed(back):
+        path.append(int(before[path[-1]]))
+    path = np.array(path[::-1])
+    flags, word = same[path, np.arange(len(path))], shifts[path] + np.arange(len(path))
+    inserted = np.repeat(np.arange(1, len(path)), np.maximum(np.diff(shifts[path]), 0))
+    return np.insert(flags, inserted, False), np.insert(word, inserted, -1)
+
+
+def _compare(agree: float):
+    """For ``mapInArrow``: the best place of one item in each row's words, if one counts."""
+
+    def best(item: np.ndarray, words: np.ndarray, begin: int, shifts: np.ndarray) -> tuple[int, int] | None:
+        places = []
+        shifts = np.sort(shifts)
+        groups = np.split(shifts, np.flatnonzero(np.diff(shifts) > NEAR_SHIFT) + 1)
+        for group in (g[i : i + WINDOW] for g in groups for i in range(0, max(len(g) - WINDOW // 2, 1), WINDOW // 2)):
+            at = group[:, None] - begin + np.arange(len(item))
+            inside = (at >= 0) & (at < len(words))
+            same = inside & (words[np.where(inside, at, 0)] == item)
+            ways = [(flags, shift + np.arange(len(item))) for flags, shift in zip(same, group)]
+            ways += [_joined(same, group)] if len(group) > 1 else []
+            for flags, word in ways:
+                matched, a, b = _place(flags, agree)
+                if matched >= needed_words(len(item), agree):
+                    places.append((matched, -int(word[a + flags[a:b].argmax()])))
+        return max(places, default=None)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begin = batch.column("begin").to_numpy()
+            found = []
+            for i, columns in enumerate(zip(batch.column("item"), batch.column("words"), batch.column("shifts"))):
+                item, words, shifts = (c.values.to_numpy(zero_copy_only=False) for c in columns)
+                place = best(item, words, int(begin[i]), shifts)
+                if place:
+                    found.append((i, place[0], len(item), -place[1]))
+            at, matched, size, start = (list(x) for x in zip(*found)) if found else ([], [], [], [])
+            yield pa.record_batch(
+                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "sha", "item_id")), *(pa.array(x, pa.int32()) for x in (matched, size, start))],
+                names=["doc_id", "sha", "item_id", "matched", "item_words", "start_word"],
+            )
+
+    return rows
+
+
 def _found(documents: DataFrame, benchmark: DataFrame, agree: float) -> DataFrame:
     """The best place of each test item in each document, a document being an id and the SHA-256 of its text."""
     spark = documents.sparkSession
@@ -181,21 +263,20 @@ def _found(documents: DataFrame, benchmark: DataFrame, agree: float) -> DataFram
         "hits",
     )
     hits = near.select("row", F.explode("seeds").alias("seed")).select("row", "seed.width", "seed.hash", F.col("seed.pos").alias("at"))
-    lined_up = hits.join(seeds, ["width", "hash"]).select("row", "item_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
-    # Word i of the item stands at word shift + i of the document.
-    compared = (
+    lined_up = hits.join(seeds, ["width", "hash"]).groupBy("row", "item_id").agg(F.collect_set(F.col("at") - F.col("pos")).alias("shifts"))
+    # Word i of the item stands at word shift + i of the document; only the words that any shift reaches travel.
+    low = F.greatest(F.array_min("shifts"), F.col("begin"))
+    reached = F.slice("words", low - F.col("begin") + 1, F.greatest(F.array_max("shifts") - low, F.lit(0)) + F.size("item"))
+    types = {"doc_id": dict(documents.dtypes)["doc_id"], "item_id": dict(benchmark.dtypes)["item_id"]}
+    pairs = (
         lined_up.join(near.select("row", "doc_id", "sha", "begin", "words"), "row")
         .join(items.select("item_id", "item").withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
-        .select(
-            "doc_id",
-            "sha",
-            "item_id",
-            F.greatest(F.col("shift"), F.lit(0)).alias("start_word"),
-            F.size("item").alias("item_words"),
-            F.expr("size(filter(item, (w, i) -> w = get(words, shift - begin + i)))").alias("matched"),
-        )
+        .select("doc_id", "sha", "item_id", "item", "shifts", low.alias("begin"), reached.alias("words"))
+    )
+    compared = pairs.mapInArrow(
+        _compare(agree), f"doc_id {types['doc_id']}, sha string, item_id {types['item_id']}, matched int, item_words int, start_word int"
     )
-    return _best(compared.where(F.col("matched") >= agree * F.col("item_words")), "doc_id", "sha", "item_id")
+    return _best(stored(compared, "places"), "doc_id", "sha", "item_id")
 
 
 def _best(places: DataFrame, *keys: str) -> DataFrame:
@@ -206,10 +287,12 @@ def _best(places: DataFrame, *keys: str) -> DataFrame:
 def leaks(documents: DataFrame, benchmark: DataFrame, agree: float = AGREE) -> DataFrame:
     """``doc_id, item_id, matched, item_words, share, start_word``: the test items found in documents.
 
-    One row for each (document, item), with its best place. Words are runs of letters and
+    One row for each (document, item), with its best place: where at least ``agree`` of the words
+    agree and these are ``agree`` of the item's, or :data:`LEAST_OVERLAP` words of a longer one.
+    ``share`` is that of the item, so that of a part is lower. Words inserted or left out, up to
+    :data:`NEAR_SHIFT` at once, count like replaced ones if seeds on both sides are hit. Words are runs of letters and
     digits, compared without case. An item without words can't be found; one of few words is found
-    wherever they stand in a row. Null texts are empty; null ids are ids like others. Only documents with an item at ``agree`` or more
-    of its words are returned; empty tables give an empty result. Other columns aren't read.
+    wherever they stand in a row. Null texts are empty; null ids are ids like others. Empty tables give an empty result. Other columns aren't read.
     """
     return _best(_found(documents, benchmark, agree), "doc_id", "item_id").select(
         "doc_id",

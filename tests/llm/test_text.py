@@ -128,6 +128,25 @@ def test_leaks_at_exactly_the_share_that_counts(spark):
     assert len(want) >= 64 and {k: found.get(k) for k in want} == want
 
 
+def test_leaks_of_parts_and_shifted_words(spark):
+    bench = spark.createDataFrame([(n, prose(n, n)) for n in (20, 100)], "item_id long, text string")
+    short, long = prose(20, 20).split(), prose(100, 100).split()
+    rows = [
+        [*"a b c".split(), *long[20:70], *"d e".split()],  # half, word for word
+        [*long[:50], "inserted", *long[50:]],
+        [*long[:50], *long[51:]],
+        [*short[:10], "inserted", *short[10:]],
+        ["x", *short[:9], *short[10:]],
+        [*short[:6], "one", *short[6:12], "two", *short[12:]],
+        long[30:46],
+        long[30:45],  # too little
+        [*short[:8], *"a b c d e f g".split(), *short[8:]],  # too much between
+        [w if i % 3 else "other" for i, w in enumerate(long)],
+    ]
+    found = {(r.doc_id, r.item_id): (r.matched, r.start_word) for r in decontamination.leaks(documents(spark, [" ".join(r) for r in rows]), bench).collect()}
+    assert found == {(0, 100): (50, 3), (1, 100): (100, 0), (2, 100): (99, 0), (3, 20): (20, 0), (4, 20): (19, 1), (5, 20): (20, 0), (6, 100): (16, 0)}
+
+
 def test_only_leaking_rows_of_an_id_go(spark):
     item = prose(1, 40)
     rows = [(None, prose(2, 50), "en", "s", 0), (None, item, "en", "s", 0), (7, item, "en", "s", 0), (7, prose(3, 50), "en", "s", 0), (7, None, "en", "s", 0)]
