@@ -205,6 +205,39 @@ def test_licences(spark):
     assert out[60].notices[0].paragraph == 1 and {n.family for n in out[62].notices} == {"CC-BY-NC", "GPL"}
 
 
+def test_licence_identifiers_and_texts(spark):
+    wrapped = (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\n'
+        "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+        "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    )
+    bsd = (
+        " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    )
+    isc = (
+        "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n"
+        "# copyright notice and this permission notice appear in all copies."
+    )
+    known = [
+        ("MIT", 0, "SPDX-License-Identifier: MIT"),
+        ("ISC", 0, "SPDX-License-Identifier: ISC"),
+        ("BSD", 0, "// SPDX-License-Identifier: BSD-2-Clause"),
+        ("MIT", 0, "The MIT License (MIT)"),
+        ("MIT", 0, "MIT License"),
+        ("MPL", 0, "Mozilla Public License Version 2.0"),
+        ("BSD", 0, "Use of this source code is governed by a BSD-style license that can be"),
+        ("MIT", 2, f"{prose(1, 30)}\n\n{wrapped}\n\n{prose(2, 30)}"),
+        ("BSD", 2, f"{prose(3, 30)}\n *\n{bsd}\n *\n{prose(4, 30)}"),
+        ("ISC", 0, isc),
+    ]
+    other = ["Permission is hereby granted to park here, subject to the following conditions:", "He drove mit dem Auto", "The house is free software\nof a kind"]
+    frame = documents(spark, [t for _, _, t in known] + [prose(i, 30) for i in range(60)] + other, CLASHING)
+    out = {r.doc_id: r for r in licence_scan.scan(frame).collect()}
+    assert [(out[i].family, out[i].notices[0].paragraph if out[i].notices else None) for i in range(len(known))] == [k[:2] for k in known]
+    assert all(len(out[i].notices) == 1 for i in range(len(known)))
+    assert all(out[i].family == "unknown" for i in range(len(known), frame.count()))
+
+
 def test_licence_shortcut_is_exact(spark, monkeypatch):
     """Scoring every paragraph gives the same answer as scoring those with a needed n-gram."""
     rows = [prose(i, 30) + "\nunder the licence of the public domain\nby nc 4 0" for i in range(30)]
