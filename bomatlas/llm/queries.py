@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bomatlas.llm import chat_trees, chunk_dedup, decontamination, jaccard_join, licence_scan, quality_lm, source_mix, suffix_dedup, toxicity, url_rules
+from bomatlas.llm import (
+    chat_trees,
+    chunk_dedup,
+    decontamination,
+    html_content,
+    importance_resampling,
+    jaccard_join,
+    licence_scan,
+    quality_lm,
+    source_mix,
+    suffix_dedup,
+    toxicity,
+    url_rules,
+    vector_codes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,3 +214,116 @@ SITE_RULES = [
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_rules.rule_table(spark, [*SITE_RULES, *url_rules.PATTERN_RULES])
     return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query(
+    "op11_html_extraction",
+    r"""
+    WITH body AS (
+        SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS article FROM pages
+    ), cut AS (
+        SELECT page_id, url, list_transform(string_split_regex(article, '</?(?:p|h1)>'),
+               lambda b: trim(regexp_replace(regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS blocks
+        FROM body
+    ), joined AS (
+        SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10) || chr(10)) AS coded FROM cut
+    ), decoded AS (
+        SELECT page_id, url, replace(replace(replace(replace(replace(coded, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;', '&') AS text
+        FROM joined
+    )
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM decoded
+    """,
+)
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = html_content.learn(html_content.default_pages(spark))
+    return html_content.extracted(table(spark, sf_dir, "pages"), weights).select("page_id", "url", "text", "n_chars")
+
+
+# The checksum of a word's UTF-8 bytes, from the 256 remainders of its polynomial.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(a >> 8, remainders[xor(a & 255, b) + 1])))"
+_STEP = "list_reduce(list_prepend(n, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+
+
+@query(
+    "op12_importance_resampling",
+    f"""
+    WITH polynomial AS (
+        SELECT list_transform(range(256), lambda n: {_STEP}) AS remainders
+    ), texts AS (
+        SELECT doc_id, 0 AS target, row_number() OVER () AS nr, text FROM documents UNION ALL SELECT NULL, 1, row_number() OVER (), text FROM benchmark
+    ), words AS (
+        SELECT target, nr, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+    ), vocabulary AS (
+        SELECT word, {_CRC} % 10000 AS bucket
+        FROM (SELECT word, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT word FROM words)), polynomial
+    ), counts AS (
+        SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM words JOIN vocabulary USING (word) GROUP BY bucket
+    ), totals AS (
+        SELECT sum(s)::BIGINT AS all_s, sum(t)::BIGINT AS all_t FROM counts
+    ), gains AS (
+        SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain FROM counts, totals
+    ), weighed AS (
+        SELECT nr, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+        FROM words JOIN vocabulary USING (word) JOIN gains USING (bucket) WHERE target = 0 GROUP BY nr
+    ), scored AS (
+        SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+        FROM texts LEFT JOIN weighed USING (nr) WHERE target = 0
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, sum((n_features >= 20)::INT) OVER () AS n FROM scored
+    )
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+    """,
+)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _vector_rounds() -> str:
+    """Four rounds of assignment and mean, and the last assignment, as common table expressions."""
+    out = []
+    for r in range(5):
+        out.append(
+            f"""
+            apart{r} AS MATERIALIZED (
+                SELECT x.id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN book{r} b ON x.part = b.part AND x.spot = b.spot GROUP BY ALL
+            ), near{r} AS MATERIALIZED (
+                SELECT id, part, arg_min(entry, d * 1000 + entry) AS entry, min(d)::BIGINT AS d FROM apart{r} GROUP BY id, part
+            )"""
+        )
+        if r < 4:
+            out.append(
+                f"""
+            mean{r} AS (
+                SELECT part, entry, spot, floor(sum(v) / count(*)::DOUBLE)::BIGINT AS v FROM near{r} JOIN x USING (id, part) GROUP BY ALL
+            ), book{r + 1} AS MATERIALIZED (
+                SELECT part, entry, spot, coalesce(mean{r}.v, b.v) AS v FROM book{r} b LEFT JOIN mean{r} USING (part, entry, spot)
+            )"""
+            )
+    return ",".join(out)
+
+
+@query(
+    "op13_vector_compression",
+    f"""
+    WITH kept AS (
+        SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, vec_id, label, embedding FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    ), flat AS (
+        SELECT id, len(embedding) // 4 AS width, unnest(embedding) AS c, generate_subscripts(embedding, 1) - 1 AS nr FROM kept
+    ), x AS MATERIALIZED (
+        SELECT id, nr // width AS part, nr % width AS spot, floor(1024 * c::DOUBLE)::BIGINT AS v FROM flat
+    ), book0 AS MATERIALIZED (
+        SELECT part, id AS entry, spot, v FROM x WHERE id < 256
+    ), {_vector_rounds()}, coded AS (
+        SELECT id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near4 GROUP BY id
+    ), digest AS (
+        SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, spot)) AS codebooks_sha256 FROM book4
+    )
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM coded JOIN kept USING (id), digest
+    """,
+)
+def op13_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.sha2(F.lit(books.text()), 256))
