@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from bomatlas.functions.purl import with_purl_columns
 from bomatlas.functions.text import blank_to_null, split_once
 from bomatlas.functions.versions import with_version_columns
+from bomatlas.sources.json_document import RANGE_BYTES, document_elements
 
 # Column widths of the index.
 MAX_PURL_CHARS = 2048
@@ -52,7 +53,6 @@ COMPONENT_SCHEMA = T.StructType(
         T.StructField("components", T.ArrayType(_LIBRARY)),
     ]
 )
-AGGREGATE_SCHEMA = T.StructType([T.StructField("components", T.ArrayType(COMPONENT_SCHEMA))])
 _SPDX_PACKAGES = T.ArrayType(
     T.StructType(
         [
@@ -101,15 +101,15 @@ def check_integrity(spark: SparkSession, path: str, declared: DataFrame | None =
 
 
 def read_aggregate(
-    spark: SparkSession, path: str, layout: str = "lines", limit: int | None = None
+    spark: SparkSession, path: str, layout: str = "lines", limit: int | None = None, range_bytes: int = RANGE_BYTES
 ) -> DataFrame:
     """Repository components of an aggregate export.
 
-    ``layout="lines"`` reads one component per line, which Spark splits across tasks;
-    that is the form to land a large export in. ``layout="document"`` reads whole JSON
-    documents: each file is one record of one task, whose components are spread out right
-    after, so a document must fit a task. ``limit`` keeps the first components of all files
-    together, in the order of files' names and of places in a file.
+    ``layout="lines"`` reads one component per line, which Spark splits across tasks.
+    ``layout="document"`` reads whole JSON documents, the form exports are published in, by
+    byte ranges of ``range_bytes``: a document of any size is read by as many tasks as it has
+    ranges (see :mod:`bomatlas.sources.json_document`). ``limit`` keeps the first components of
+    all files together, in the order of files' names and of places in a file.
     """
     if layout == "lines":
         components = spark.read.schema(COMPONENT_SCHEMA).json(path)
@@ -123,17 +123,11 @@ def read_aggregate(
                 .drop("_0", "_1", "_at")
             )
     elif layout == "document":
-        exploded = (
-            spark.read.schema(AGGREGATE_SCHEMA)
-            .option("multiLine", True)
-            .json(path)
-            .select(F.col("_metadata.file_path").alias("_file"), F.posexplode("components").alias("_at", "c"))
-        )
+        elements = document_elements(spark, path, "components", range_bytes)
         if limit is not None:
-            exploded = exploded.orderBy("_file", "_at").limit(limit)
-        components = exploded.select("c.*").repartition(
-            spark.sparkContext.defaultParallelism, F.col("name")
-        )
+            # The first places are settled among (file, at) alone; texts meet them afterwards.
+            elements = elements.join(elements.select("file", "at").orderBy("file", "at").limit(limit), ["file", "at"], "left_semi")
+        components = elements.select(F.from_json("element", COMPONENT_SCHEMA).alias("c")).select("c.*")
     else:
         raise ValueError("layout must be 'lines' or 'document'")
     return components

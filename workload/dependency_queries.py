@@ -48,6 +48,18 @@ def _(spark, d):
     )
 
 
+@query(
+    "src_sbom_aggregate_document",
+    "WITH lines AS (" + fx.for_duckdb(fx.LINES_SQL) + ") SELECT repo_full_name, purl, version_field AS version_raw, license_id, "
+    "vcs_url IS NULL AS github, count(*) AS n FROM lines GROUP BY ALL",
+)
+def _(spark, d):
+    path = fx.published_document(spark, d)
+    found = sbom.explode_libraries(sbom.read_aggregate(spark, path, "document", range_bytes=1 << 20))
+    github = F.startswith("repo_url", F.lit("https://github.com/")).alias("github")
+    return found.groupBy("repo_full_name", "purl", "version_raw", "license_id", github).agg(F.count("*").alias("n"))
+
+
 @query(
     "src_repos_feed",
     oracle("SELECT repo_key, full_name, feed_pushed AS pushed_on, feed_url AS repo_url FROM feed"),

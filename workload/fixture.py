@@ -267,6 +267,36 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Text that looks like structure, put into every published component.
+_TRAP = 'a "quoted" { brace and "components": [{ \\\\'
+
+
+def published_document(spark: SparkSession, sf_dir: str) -> str:
+    """One JSON document with all bills of materials, as an export is published: a single file."""
+    key = (spark.sparkContext.applicationId, f"document {sf_dir}")
+    if key not in _LANDED:
+        path = run_path(spark, "document")
+        rows = components(spark, sf_dir).select(
+            F.to_json(F.struct(F.lit(_TRAP).alias("description"), "name", "externalReferences", "components")).alias("value")
+        )
+
+        def joined(batches):
+            import pyarrow as pa
+
+            yield pa.record_batch([pa.array(['{"bomFormat": "CycloneDX", "metadata": {"component": {"name": "all"}}, "components": ['])], names=["value"])
+            first = True
+            for batch in batches:
+                texts = [("" if first and not i else ",") + t for i, t in enumerate(batch.column(0).to_pylist())]
+                first = first and not texts
+                yield pa.record_batch([pa.array(texts, pa.string())], names=["value"])
+            yield pa.record_batch([pa.array(['], "dependencies": [{"ref": "all"}]}'])], names=["value"])
+
+        # The delivery is one file, so one task writes it; it streams and holds a batch at a time.
+        rows.coalesce(1).mapInArrow(joined, "value string").write.text(path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, FEED_SQL)
 
