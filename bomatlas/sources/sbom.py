@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from bomatlas.functions.purl import with_purl_columns
 from bomatlas.functions.text import blank_to_null, split_once
 from bomatlas.functions.versions import with_version_columns
+from bomatlas.sources.files import look_at
 from bomatlas.sources.json_document import RANGE_BYTES, document_elements
 
 # Column widths of the index.
@@ -82,22 +83,25 @@ SPDX_SCHEMA = T.StructType(
 
 
 def check_integrity(spark: SparkSession, path: str, declared: DataFrame | None = None) -> DataFrame:
-    """One row per file: path, length, is_gzip, is_complete.
+    """One row per file: path, length, is_gzip, unpacks, is_complete.
 
-    ``declared`` (path, declared_length) marks a file of another size as incomplete. Spark
-    reads a binary file whole, so this reads every byte, and a file must fit a task.
+    ``declared`` (path, declared_length) marks a file of another size as incomplete, and so
+    does a gzip stream that breaks off or fails its checksum (``unpacks``; null for files that
+    don't begin as gzip). Names and sizes come from the listing, which leaves out empty files;
+    one of them, or an absent one, has a row of length 0 if it is declared. A task streams one
+    gzip file in pieces, and reads two bytes of any other, so files may have any size.
     """
-    files = spark.read.format("binaryFile").load(path)
-    checked = files.select(
-        "path",
-        "length",
-        (F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")).alias("is_gzip"),
-    )
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    looked = files.select("path").repartition(max(1, files.count())).mapInArrow(look_at, "path string, is_gzip boolean, unpacks boolean")
+    checked = files.join(looked, "path")
+    sound = F.coalesce("unpacks", F.lit(True))
     if declared is None:
-        return checked.withColumn("is_complete", F.lit(True))
-    return checked.join(declared, "path", "left").withColumn(
-        "is_complete", F.coalesce(F.col("declared_length") == F.col("length"), F.lit(True))
+        return checked.withColumn("is_complete", sound)
+    whole = F.coalesce(F.col("declared_length") == F.col("length"), F.lit(True))
+    found = checked.join(declared, "path", "full_outer").withColumns(
+        {"length": F.coalesce("length", F.lit(0)), "is_gzip": F.coalesce("is_gzip", F.lit(False))}
     )
+    return found.withColumn("is_complete", sound & whole)
 
 
 def read_aggregate(

@@ -42,7 +42,7 @@ def test_ranges_against_a_parser(size, chunk, tmp_path, monkeypatch):
         for start in range(0, len(text), size):
             end = min(start + size, len(text))
             effects, odd = [json_document._Effect(False), json_document._Effect(True)], 0
-            with json_document._open(f"file:{path}") as source:
+            with json_document.opened_text(f"file:{path}") as source:
                 for piece in json_document._chunks(source, start, end):
                     odd += len(piece.quotes)
                     for effect in effects:

@@ -92,6 +92,23 @@ def test_integrity(spark, landed):
     assert not got["plain.json.gz"].is_gzip and got["plain.json.gz"].is_complete
 
 
+def test_integrity_of_damaged_files(spark, tmp_path):
+    """Only a stream that unpacks to its end is complete; plans read no contents."""
+    whole = gzip.compress(bytes(range(256)) * 400)
+    damaged = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]
+    files = {"good": whole, "cut": whole[:-9], "damaged": damaged, "two": whole + whole, "padded": whole + b"\0" * 9, "tail": whole + b"xx", "empty": b"", "plain": b"{}"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    checked = sbom.check_integrity(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: (r.is_gzip, r.unpacks, r.is_complete) for r in checked.collect()}
+    good, bad = (True, True, True), (True, False, False)
+    assert got == {"good": good, "cut": bad, "damaged": bad, "two": good, "padded": good, "tail": bad, "plain": (False, None, True)}
+    sizes = spark.createDataFrame([(f"file:{tmp_path}/{n}", s) for n, s in (("empty", 0), ("gone", 5))], "path string, declared_length bigint")
+    told = {r.path.rsplit("/", 1)[1]: (r.length, r.is_complete) for r in sbom.check_integrity(spark, str(tmp_path), sizes).collect()}
+    assert told["empty"] == (0, True) and told["gone"] == (0, False) and told["plain"] == (2, True)
+    assert "content" not in checked._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spdx_files_and_markdown(spark, tmp_path):
     def package(i):
         return {"name": f"p{i:03}", "versionInfo": "1.0" if i % 2 else "", "licenseConcluded": ["MIT", "NOASSERTION"][i % 2],
