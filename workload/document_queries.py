@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bomatlas.functions import documents as doc
 from bomatlas.functions.numbers import rate_pct, round_half_up
-from bomatlas.operators import cost, evaluation, ingest_stats, metrics, results, retrieval
+from bomatlas.operators import cost, evaluation, ingest_stats, lexical_index, metrics, results, retrieval
 from bomatlas.operators.ranking import percentiles
 from bomatlas.plans.index import open_index
 from bomatlas.session import run_path
@@ -315,16 +315,25 @@ def _queries(spark, d):
 
 
 def _hits(spark, d, hits=20):
-    return retrieval.retrieve_lexical(fx.table(spark, d, "documents"), _queries(spark, d), hits).withColumn(
-        "pos", F.col("rank").cast("bigint")
-    )
+    """Out of the stored index, built once a session."""
+    return lexical_index.search(fx.lexical_index(spark, d), _queries(spark, d), hits).withColumn("pos", F.col("rank").cast("bigint"))
+
+
+_TOP = _RANKED + "SELECT query_id, doc_id, score, pos FROM ranked WHERE pos <= 100"
 
 
-@query("retrieve_lexical", _RANKED + "SELECT query_id, doc_id, score, pos FROM ranked WHERE pos <= 100")
+@query("retrieve_lexical", _TOP)
 def _(spark, d):
     return _hits(spark, d, 100).drop("rank")
 
 
+@query("retrieve_lexical_unindexed", _TOP)
+def _(spark, d):
+    """The same from raw texts, for a set of queries that is asked once."""
+    found = retrieval.retrieve_lexical(fx.table(spark, d, "documents"), _queries(spark, d), 100)
+    return found.withColumn("pos", F.col("rank").cast("bigint")).drop("rank")
+
+
 def _raw_hits(spark, d):
     documents = fx.documents(spark, d)
     return _hits(spark, d).join(documents.withColumn("snippet", F.col("text")).drop("text"), "doc_id")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bomatlas.operators import lexical_index as lexical
 from bomatlas.plans.index import DependencyIndex, open_index, publish
 from bomatlas.session import apply_settings, run_path
 from bomatlas.sources import refdata
@@ -395,6 +396,16 @@ def index_base(spark: SparkSession, sf_dir: str) -> str:
     return _INDEXES[(spark.sparkContext.applicationId, sf_dir)]
 
 
+def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+    """The word index over the documents, built and stored once per application."""
+    key = (spark.sparkContext.applicationId, f"lexical {sf_dir}")
+    if key not in _LANDED:
+        path = run_path(spark, "lexical")
+        lexical.build(table(spark, sf_dir, "documents"), path)
+        _LANDED[key] = path
+    return lexical.open_index(spark, _LANDED[key])
+
+
 def watch_list(spark: SparkSession, popularity: DataFrame) -> DataFrame:
     return spark.sql(WATCH_SQL, packages=popularity)
 
