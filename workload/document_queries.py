@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bomatlas.functions import documents as doc
 from bomatlas.functions.numbers import rate_pct, round_half_up
-from bomatlas.operators import cost, evaluation, ingest_stats, lexical_index, metrics, results, retrieval
+from bomatlas.operators import cost, evaluation, ingest_stats, lexical_index, metrics, results, retrieval, vector_index
 from bomatlas.operators.ranking import percentiles
 from bomatlas.plans.index import open_index
 from bomatlas.session import run_path
@@ -398,8 +398,7 @@ def _centroids(spark, d):
     return ordered.select(F.col("label").cast("bigint").alias("query_id"), F.col("v.m").alias("embedding"))
 
 
-@query(
-    "retrieve_vector",
+_NEAREST = (
     "WITH p AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, embedding FROM embeddings), "
     "e AS MATERIALIZED (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM p), "
     "q AS MATERIALIZED (SELECT label AS query_id, i, avg(x) AS m FROM e GROUP BY ALL), "
@@ -407,13 +406,34 @@ def _centroids(spark, d):
     "s AS (SELECT q.query_id, e.vec_id, sum(e.x * q.m) AS dot FROM e JOIN q USING (i) GROUP BY ALL), "
     "c AS (SELECT s.query_id, s.vec_id, s.dot / en.n / qn.n AS cosine FROM s JOIN en USING (vec_id) JOIN qn USING (query_id)) "
     "SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos "
-    "FROM (SELECT query_id, vec_id, CAST(floor(cosine * 1000000 + 0.5) AS BIGINT) AS score FROM c WHERE cosine >= 0.4) f) r WHERE pos <= 10",
+    "FROM (SELECT query_id, vec_id, CAST(floor(cosine * 1000000 + 0.5) AS BIGINT) AS score FROM c WHERE cosine >= 0.4) f) r WHERE pos <= 10"
 )
+
+
+@query("retrieve_vector", _NEAREST)
 def _(spark, d):
     found = retrieval.retrieve_vector(fx.table(spark, d, "embeddings"), _centroids(spark, d))
     return found.select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("pos"))
 
 
+def _asking(spark, d):
+    """Every vector whose id is divisible by 100."""
+    vectors = fx.table(spark, d, "embeddings").where("vec_id % 100 = 0")
+    return vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+_NEAREST_TO_SOME = _NEAREST.replace(
+    "q AS MATERIALIZED (SELECT label AS query_id, i, avg(x) AS m FROM e GROUP BY ALL)",
+    "q AS MATERIALIZED (SELECT vec_id AS query_id, i, x AS m FROM e WHERE vec_id % 100 = 0)",
+)
+
+
+@query("retrieve_vector_indexed", _NEAREST_TO_SOME)
+def _(spark, d):
+    found = vector_index.search(fx.vector_index(spark, d), _asking(spark, d), 10, retrieval.VECTOR_THRESHOLD)
+    return found.select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("pos"))
+
+
 # ---- evaluation ---------------------------------------------------------------------
 
 _JUDGED = (

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomatlas.operators import lexical_index as lexical
+from bomatlas.operators import vector_index as vectors
 from bomatlas.plans.index import DependencyIndex, open_index, publish
 from bomatlas.session import apply_settings, run_path
 from bomatlas.sources import refdata
@@ -406,6 +407,16 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
     return lexical.open_index(spark, _LANDED[key])
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The vector index over the embeddings, built and stored once per application."""
+    key = (spark.sparkContext.applicationId, f"vectors {sf_dir}")
+    if key not in _LANDED:
+        path = run_path(spark, "vectors")
+        vectors.build(table(spark, sf_dir, "embeddings"), path)
+        _LANDED[key] = path
+    return vectors.open_index(spark, _LANDED[key])
+
+
 def watch_list(spark: SparkSession, popularity: DataFrame) -> DataFrame:
     return spark.sql(WATCH_SQL, packages=popularity)
 
