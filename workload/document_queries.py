@@ -12,7 +12,7 @@ from bomatlas.operators.ranking import percentiles
 from bomatlas.plans.index import open_index
 from bomatlas.session import run_path
 from bomatlas.sources import documents as store
-from bomatlas.sources import sbom, tables
+from bomatlas.sources import sbom, summary_store, tables
 from bomatlas.streaming import metrics as stream_metrics
 from bomatlas.streaming import snapshots as stream_snapshots
 from workload import fixture as fx
@@ -73,9 +73,14 @@ def _(spark, d):
     "CASE WHEN action IN ('created', 'updated') THEN new_pushed ELSE old_pushed END AS pushed_at FROM plan",
 )
 def _(spark, d):
+    """Two merges: the stored documents into an empty store, then what comes in."""
     path = run_path(spark, "summaries")
-    store.upsert(fx.documents(spark, d).drop("doc_id"), _incoming(spark, d), path)
-    return spark.read.parquet(path).select("org", "repo", "text", "pushed_at")
+    first = fx.documents(spark, d).drop("doc_id")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema)
+    summary_store.create(spark, path, columns, buckets=16)
+    for documents in (first, _incoming(spark, d)):
+        summary_store.merge(spark, path, documents)
+    return summary_store.read(spark, path).select("org", "repo", "text", "pushed_at")
 
 
 def _state(spark, d):
