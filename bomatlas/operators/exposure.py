@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bomatlas.operators.intervals import stabbed
 from bomatlas.operators.ranking import top_per_group
 from bomatlas.operators.search import concrete, known_ecosystem, of_org, of_package
+from bomatlas.session import run_path
 from bomatlas.sources.refdata import advisory_details, affected_ranges, affected_versions
 
 # List sizes of a report where the caller names none.
 SAMPLE_REPOS = 25
 REPORT_FINDINGS = 200
+#: Spans of a package that its versions are compared with one by one.
+DIRECT_SPANS = 64
 
 IDENTITY = ["ecosystem", "package_key", "version_raw"]
 
@@ -58,28 +62,39 @@ def identities(scoped: DataFrame) -> DataFrame:
     return scoped.select(*IDENTITY, "version_sort_key").distinct()
 
 
-def exposed(ids: DataFrame, advisories: DataFrame) -> DataFrame:
+def exposed(ids: DataFrame, advisories: DataFrame, direct: int = DIRECT_SPANS) -> DataFrame:
     """(ecosystem, package_key, version_raw, id): exact listings and introduced/fixed ranges.
 
-    Both are equi joins on the package over distinct versions; rows of the fact table
-    never meet the advisories, so a package with a third of all rows costs no more than
-    its number of versions.
+    All joins are equi joins over distinct versions; rows of the fact table never meet the
+    advisories, so a package with a third of all rows costs no more than its number of
+    versions. A package of up to ``direct`` spans compares each version with each of them; of
+    packages with more, versions and spans meet where one holds the other only.
     """
     package = ["ecosystem", "package_key"]
-    ranges = affected_ranges(advisories).select("id", *package, "introduced_key", "fixed_key", "last_affected_key")
-    key = F.col("version_sort_key")
-    by_range = (
-        ids.where(key.isNotNull())
-        .join(ranges, package)
+    key, bounds = "version_sort_key", ["introduced_key", "fixed_key", "last_affected_key"]
+    spark = ids.sparkSession
+    path = run_path(spark, "spans")
+    # Some rows for each advisory, read several times below.
+    ranges = affected_ranges(advisories).select("id", *package, *bounds).distinct()
+    ranges.write.parquet(path)
+    ranges = spark.read.schema(ranges.schema).parquet(path)
+    crowded = ranges.groupBy(*package).agg(F.count("*").alias("n")).where(F.col("n") > direct).select(*package)
+    versions = ids.where(F.col(key).isNotNull())
+    some = not crowded.isEmpty()
+    few = ranges.join(crowded, package, "left_anti") if some else ranges
+    low, below, upto = (F.col(b) for b in bounds)
+    matches = (
+        versions.join(few, package)
         .where(
-            (F.col("introduced_key").isNull() | (key >= F.col("introduced_key")))
-            & (F.col("fixed_key").isNull() | (key < F.col("fixed_key")))
-            & (F.col("last_affected_key").isNull() | (key <= F.col("last_affected_key")))
+            (low.isNull() | (F.col(key) >= low)) & (below.isNull() | (F.col(key) < below)) & (upto.isNull() | (F.col(key) <= upto))
         )
         .select(*IDENTITY, "id")
     )
+    if some:
+        held = stabbed(versions.join(crowded, package, "left_semi"), ranges.join(crowded, package, "left_semi"), package, key, *bounds)
+        matches = matches.union(versions.join(held.select(*package, key, "id").distinct(), [*package, key]).select(*IDENTITY, "id"))
     by_version = ids.join(affected_versions(advisories), IDENTITY).select(*IDENTITY, "id")
-    return by_range.union(by_version).distinct()
+    return matches.union(by_version).distinct()
 
 
 def findings(fact: DataFrame, advisories: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -126,21 +126,21 @@ def affected_spans(advisories: DataFrame) -> DataFrame:
     return starts.select("id", "ecosystem", "package_key", F.col("event.introduced").alias("introduced"), end["fixed"].alias("fixed"), end["last_affected"].alias("last_affected"))
 
 
+_BOUNDS = ("introduced", "fixed", "last_affected")
+
+
 def affected_ranges(advisories: DataFrame) -> DataFrame:
-    """Spans on the sort key; ``introduced`` 0 is open below."""
-
-    def keyed(df: DataFrame, column: str) -> DataFrame:
-        kept = df.columns
-        return with_version_columns(df, "ecosystem", column).select(
-            *kept, F.col("version_sort_key").alias(f"{column}_key")
-        )
-
-    rows = affected_spans(advisories).withColumn("introduced", F.nullif(F.col("introduced"), F.lit("0")))
-    for column in ("introduced", "fixed", "last_affected"):
-        rows = keyed(rows, column)
-        # A bound that was given but cannot be read must not open the range.
-        rows = rows.where(F.col(column).isNull() | F.col(f"{column}_key").isNotNull())
-    return rows
+    """Spans on the sort key; ``introduced`` 0 is open below. Equal spans are one.
+
+    The bounds of all spans are classified in one column, then put back beside each other.
+    """
+    spans = affected_spans(advisories).withColumn("introduced", F.nullif(F.col("introduced"), F.lit("0")))
+    bound = F.explode(F.array(*[F.struct(F.lit(b).alias("bound"), F.col(b).alias("text")) for b in _BOUNDS]))
+    read = with_version_columns(spans.select("*", bound.alias("_b")).select("*", "_b.*").drop("_b"), "ecosystem", "text")
+    keys = [F.max(F.when(F.col("bound") == b, F.col("version_sort_key"))).alias(f"{b}_key") for b in _BOUNDS]
+    # A bound that was given but cannot be read must not open the range.
+    unread = F.col("text").isNotNull() & F.col("version_sort_key").isNull()
+    return read.groupBy("id", "ecosystem", "package_key", *_BOUNDS).agg(*keys, F.count_if(unread).alias("_unread")).where("_unread = 0").drop("_unread")
 
 
 def affected_versions(advisories: DataFrame) -> DataFrame:

@@ -657,7 +657,10 @@ ids AS MATERIALIZED (
 hits AS MATERIALIZED (
   SELECT DISTINCT i.ecosystem, i.package_key, i.version_raw, k.id FROM ids i JOIN keyed k USING (ecosystem, package_key)
   WHERE i.version_raw = k.exact_version
-    OR (k.fixed IS NOT NULL AND (k.lo IS NULL OR i.version_sort_key >= k.lo) AND i.version_sort_key < k.hi)),
+    OR (k.fixed IS NOT NULL AND (k.lo IS NULL OR i.version_sort_key >= k.lo) AND i.version_sort_key < k.hi)
+    OR (k.last_affected IS NOT NULL
+      AND i.version_sort_key >= '0000!0000000006.0000000002.0000000000.0000000000.0000000000.0000000000.~'
+      AND i.version_sort_key <= '0000!0000000006.0000000040.0000000000.0000000000.0000000000.0000000000.~')),
 details AS (
   SELECT id, cve_alias AS cve, left(coalesce(nullif(summary, ''), details), 200) AS summary,
     coalesce(upper(own_severity), score, 'UNKNOWN') AS severity, 'https://osv.dev/vulnerability/' || id AS url FROM adv)
@@ -708,13 +711,14 @@ def _(spark, d):
 
 @query(
     "src_refdata_advisories",
-    "WITH " + fx.FACT_SQL + _ADVISED + "SELECT id, ecosystem, package_key, introduced, fixed, exact_version FROM keyed",
+    "WITH " + fx.FACT_SQL + _ADVISED + "SELECT id, ecosystem, package_key, introduced, fixed, NULL AS last_affected, NULL AS exact_version "
+    "FROM keyed WHERE fixed IS NOT NULL UNION ALL SELECT id, ecosystem, package_key, introduced_again, NULL, last_affected, NULL FROM keyed "
+    "WHERE last_affected IS NOT NULL UNION ALL SELECT id, ecosystem, package_key, NULL, NULL, NULL, exact_version FROM keyed WHERE exact_version IS NOT NULL",
 )
 def _(spark, d):
     advisories = fx.advisories(spark, d)
-    keys = ["id", "ecosystem", "package_key"]
     exact = refdata.affected_versions(advisories).withColumnRenamed("version_raw", "exact_version")
-    return refdata.affected_spans(advisories).drop("last_affected").join(exact, keys, "full_outer")
+    return refdata.affected_spans(advisories).unionByName(exact, allowMissingColumns=True)
 
 
 @query(

@@ -128,6 +128,8 @@ SELECT concat('ADV-', CAST(p_partkey AS STRING)) AS id,
     WHEN 1 THEN '4.20.1' END AS fixed,
   CASE WHEN p_size % 3 = 2 THEN concat(CAST(1 + p_partkey % 7 AS STRING), '.',
     CAST(1 + p_size AS STRING), '.0') END AS exact_version,
+  CASE WHEN p_partkey % 7 = 0 THEN '6.2' END AS introduced_again,
+  CASE WHEN p_partkey % 7 = 0 THEN '6.40.0' END AS last_affected,
   CASE WHEN p_partkey % 2 = 0 THEN concat('CVE-2020-', CAST(p_partkey AS STRING)) END AS cve_alias,
   CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('Problem in ', p_name) END AS summary,
   concat('Details of ', p_name, repeat(' more', 50)) AS details,
@@ -318,6 +320,16 @@ def eol_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat rows as a published advisory dump: written as JSON lines, read back by the library."""
+
+    def span(begin: str, end: str):
+        """A range of two events, or nothing."""
+        none = F.lit(None).cast("string")
+        events = [
+            F.struct(F.col(begin).alias("introduced"), none.alias("fixed"), none.alias("last_affected")),
+            F.struct(none.alias("introduced"), *[(F.col(end) if c == end else none).alias(c) for c in ("fixed", "last_affected")]),
+        ]
+        return F.when(F.col(begin).isNotNull(), F.struct(F.lit("ECOSYSTEM").alias("type"), F.array(*events).alias("events")))
+
     dump = derive(spark, sf_dir, ADVISORIES_SQL).select(
         "id",
         F.array_compact(F.array(F.concat(F.lit("GHSA-"), "id"), "cve_alias")).alias("aliases"),
@@ -332,18 +344,7 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.struct(
                     F.col("advisory_ecosystem").alias("ecosystem"), F.col("advisory_package").alias("name")
                 ).alias("package"),
-                F.when(
-                    F.col("introduced").isNotNull(),
-                    F.array(
-                        F.struct(
-                            F.lit("ECOSYSTEM").alias("type"),
-                            F.array(
-                                F.struct("introduced", F.lit(None).cast("string").alias("fixed")),
-                                F.struct(F.lit(None).cast("string").alias("introduced"), "fixed"),
-                            ).alias("events"),
-                        )
-                    ),
-                ).alias("ranges"),
+                F.array_compact(F.array(span("introduced", "fixed"), span("introduced_again", "last_affected"))).alias("ranges"),
                 F.array_compact(F.array("exact_version")).alias("versions"),
             )
         ).alias("affected"),
