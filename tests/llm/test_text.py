@@ -158,13 +158,15 @@ def test_only_leaking_rows_of_an_id_go(spark):
 # Quality model
 
 
-def kneser_ney(texts, order, classes):
-    """Interpolated modified Kneser-Ney straight from its definition, on dictionaries."""
-    runs = []
-    for t in texts:
-        padded = [0] * (order - 1) + [int(quality_lm._CLASS[b]) for b in t.encode()]
-        runs += [tuple(padded[i : i + order]) for i in range(len(padded) - order + 1)]
-    counts = {order: Counter(runs)}
+def padded(text, order):
+    """Beginnings, lower-cased words, an end."""
+    return ["<s>"] * (order - 1) + WORD.findall(lowered(text)) + ["</s>"]
+
+
+def kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney straight from its definition, on dictionaries of words."""
+    lines = [padded(t, order) for t in texts]
+    counts = {order: Counter(tuple(w[i : i + order]) for w in lines for i in range(len(w) - order + 1))}
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     off = {}
@@ -172,12 +174,12 @@ def kneser_ney(texts, order, classes):
         n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         raw = [k - (k + 1) * y * up / own if own else 0.0 for k, own, up in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        off[n] = [min(max(d, 0.0), k) for k, d in enumerate(raw, 1)]
+        off[n] = [min(max(d, quality_lm.LEAST_DISCOUNT), k) for k, d in enumerate(raw, 1)]
 
     def p(gram):
         n = len(gram)
         if n == 0:
-            return 1 / classes
+            return 1 / (len(counts[1]) + 1)
         same = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
         total = sum(same.values())
         if not total:
@@ -186,25 +188,53 @@ def kneser_ney(texts, order, classes):
         c = same.get(gram, 0)
         return max(c - (off[n][min(c, 3) - 1] if c else 0), 0) / total + back * p(gram[1:])
 
-    return p
+    return p, {g[0] for g in counts[1]}
 
 
-def test_model_against_the_definition(spark):
-    texts = ["abra cadabra", "Abracadabra! 12", "", "baba, abba", "ça va; été"]
-    model = quality_lm.train(documents(spark, texts))
-    p = kneser_ney(texts, quality_lm.ORDER, quality_lm.CLASSES)
-    table = quality_lm._log_probabilities(model)
-    judged = ["abra", "zzz", "été abba", "", None]
-    for row in quality_lm.perplexities(documents(spark, judged), model).collect():
-        text = judged[row.doc_id]
-        if not text:
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_model_against_the_definition(spark, order):
+    texts = ["the cat sat on the mat", "The cat ran", "", None, "a dog sat on a mat on a mat", "the the the", "Été  là\u2003bas", "the cat sat"]
+    model = quality_lm.train(documents(spark, texts).repartition(3), order)
+    p, known = kneser_ney(texts, order)
+    judged = ["the cat sat on a mat", "zzz", "the the zzz cat", "THE cat sat on a mat", "mat", "", None, "  ", "the cat sat on a mat"]
+    rows = quality_lm.perplexities(documents(spark, judged), model).collect()
+    assert len(rows) == len(judged)
+    for row in rows:
+        words = padded(judged[row.doc_id], order)
+        if len(words) == order:
             assert row.perplexity is None
             continue
-        padded = [0] * (quality_lm.ORDER - 1) + [int(quality_lm._CLASS[b]) for b in text.encode()]
-        logs = [math.log(p(tuple(padded[i : i + quality_lm.ORDER]))) for i in range(len(text.encode()))]
-        assert row.perplexity == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-4)
-    # Every context's probabilities add up to one.
-    assert np.exp(table.reshape(-1, quality_lm.CLASSES).astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-3)
+        logs = [math.log(p(tuple(words[i : i + order]))) for i in range(len(words) - order + 1)]
+        assert row.perplexity == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-9)
+    # Every context's probabilities add up to one: the known words, the end, and one for all others.
+    for context in (("the",), ("on", "a"), ("zzz", "cat"), ("<s>",) * (order - 1)):
+        context = context[-(order - 1) :] if order > 1 else ()
+        assert sum(p((*context, w)) for w in [*known, "unseen"]) == pytest.approx(1)
+
+
+def test_model_grows_and_is_flushed_in_parts(spark, monkeypatch):
+    """What is gathered has a row for each distinct run, whatever leaves a task at once."""
+    texts = [prose(i, 30) for i in range(40)]
+    pairs = {tuple(w[i : i + 2]) for t in texts for w in [padded(t, 2)] for i in range(len(w) - 1)}
+    words = {w for t in texts for w in padded(t, 1)}
+    rows = lambda: sorted((r.key, round(r.value, 9)) for r in quality_lm.train(documents(spark, texts)).values.collect())
+    whole = rows()
+    # A value for each word and pair, and one for each context: all words but the end, and the beginning.
+    assert len(whole) == len(pairs) + len(words) + len(words)
+    monkeypatch.setattr(quality_lm, "FLUSH", 50)
+    assert rows() == whole
+
+
+def test_word_order_matters(spark):
+    """Shuffled words of a good text are less likely than the text."""
+    draw = random.Random(4)
+    lines = ["the cat sat on the mat and then it slept", "a dog ran in the park and then it barked at the cat"]
+    good = [" ".join(draw.choice(lines) for _ in range(6)) for _ in range(30)]
+    mixed = [" ".join(draw.sample(t.split(), len(t.split()))) for t in good[20:]]
+    frame = documents(spark, good + mixed)
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality_lm.judged(frame, labels).collect()}
+    assert sum(kept[i] for i in range(30)) >= 24 and not any(kept[i] for i in range(30, 40))
 
 
 def test_quality(spark):
