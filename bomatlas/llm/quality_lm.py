@@ -223,7 +223,7 @@ def judged(documents: DataFrame, labels: DataFrame, lowest: float = LOWEST, high
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     known = stored(good.withColumn("trusted", F.lit(True)), "trusted")
     # A bitmap of fixed size settles most rows, so that few texts meet the ids in the exact join.
-    model = train(probably_in(documents, "doc_id", known.select("doc_id")).join(known, "doc_id", "left_semi"), order)
+    model = train(probably_in(documents.select("doc_id", "text"), "doc_id", known.select("doc_id")).join(known, "doc_id", "left_semi"), order)
     scored = stored(perplexities(documents, model), "perplexities").join(known, "doc_id", "left")
     bounds = F.percentile_approx("perplexity", [lowest, highest], 10_000).alias("bounds")
     trusted = scored.where("trusted and perplexity is not null")
