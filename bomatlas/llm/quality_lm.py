@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomatlas.llm.common import probably_in, stored, word_count
@@ -30,6 +30,8 @@ from bomatlas.llm.tokens import Powers, bytes_and_offsets, mix, slices, words_of
 ORDER = 2
 #: Quantiles of the trusted texts' perplexity between which a document is kept.
 LOWEST, HIGHEST = 0.01, 0.99
+#: One in so many trusted texts is not learned from.
+HELD_OUT = 10
 #: A discount is never less, so that every context leaves room for other words.
 LEAST_DISCOUNT = 0.1
 #: Runs counted in a task before they leave it.
@@ -194,7 +196,7 @@ def _asker(order: int):
 
 
 def perplexities(documents: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang, perplexity`` per word (the end counted) of every row's whole text; null for a text without words.
+    """``doc_id, lang, perplexity, text_hash``: perplexity per word (the end counted) of every row's whole text; null for a text without words.
 
     Equal texts add up to the same quotient, so they need not be told apart.
     """
@@ -208,29 +210,47 @@ def perplexities(documents: DataFrame, model: Model) -> DataFrame:
     copies = named.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
     found = copies.join(sums, ["t1", "t2"], "left").select("t1", "t2", (F.coalesce("sum", F.lit(0.0)) / F.col("copies")).alias("sum"))
     log = F.lit(model.unknown) + F.col("sum") / F.col("events")
-    return named.drop("text").join(found, ["t1", "t2"]).select("doc_id", "lang", F.when(F.col("events") > 1, F.exp(-log)).alias("perplexity"))
+    return named.drop("text").join(found, ["t1", "t2"]).select(
+        "doc_id", "lang", F.when(F.col("events") > 1, F.exp(-log)).alias("perplexity"), F.col("t1").alias("text_hash")
+    )
+
+
+def _held_out(text_hash: Column) -> Column:
+    return F.pmod(text_hash, F.lit(HELD_OUT)) == 0
 
 
 def judged(documents: DataFrame, labels: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST, order: int = ORDER) -> DataFrame:
     """``doc_id, lang, perplexity, low, high, trusted, kept`` for every row of ``documents``.
 
-    Trusted are the documents that any row of ``labels`` gives quality 1. ``low`` and ``high``
-    are the quantiles of the trusted texts in the document's language, or in all languages
-    where it has none; a null language is one of its own. Texts without words are not kept.
-    Without any trusted text there is nothing to measure by, and every other text is kept.
-    Repeated rows each have their row; a text of any length is read whole.
+    Trusted are the documents that any row of ``labels`` gives quality 1. A text that a model
+    has seen is likelier to it than any other, so one in ``HELD_OUT`` trusted texts (by hash, so
+    copies go together) is not learned from: ``high`` is the upper quantile of these, or of all
+    trusted texts where none was held out. ``low`` is the lower quantile of all trusted texts.
+    Both are of the document's language, or of all languages where it has none; a null language
+    is one of its own. Texts without words are not kept. Without any trusted text there is
+    nothing to measure by, and every other text is kept. Repeated rows each have their row; a
+    text of any length is read whole.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     known = stored(good.withColumn("trusted", F.lit(True)), "trusted")
     # A bitmap of fixed size settles most rows, so that few texts meet the ids in the exact join.
-    model = train(probably_in(documents.select("doc_id", "text"), "doc_id", known.select("doc_id")).join(known, "doc_id", "left_semi"), order)
+    texts = probably_in(documents.select("doc_id", "text"), "doc_id", known.select("doc_id")).join(known, "doc_id", "left_semi")
+    model = train(texts.where(~_held_out(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))), order)
     scored = stored(perplexities(documents, model), "perplexities").join(known, "doc_id", "left")
-    bounds = F.percentile_approx("perplexity", [lowest, highest], 10_000).alias("bounds")
+
+    def bounds() -> list[Column]:
+        # A sketch of bounded size for each language and set.
+        low = F.percentile_approx("perplexity", lowest, 10_000).alias("low")
+        new = F.when(_held_out(F.col("text_hash")), F.col("perplexity"))
+        return [low, F.percentile_approx(new, highest, 10_000).alias("new"), F.percentile_approx("perplexity", highest, 10_000).alias("old")]
+
     trusted = scored.where("trusted and perplexity is not null")
-    by_lang = trusted.groupBy("lang").agg(bounds).withColumnsRenamed({"lang": "_lang", "bounds": "_own"})
-    overall = trusted.agg(bounds).first()[0] or [None, None]  # two numbers
-    low, high = (F.coalesce(F.get("_own", F.lit(i)), F.lit(b).cast("double")) for i, b in enumerate(overall))
-    return scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
+    by_lang = trusted.groupBy("lang").agg(*bounds()).withColumnsRenamed({"lang": "_lang"})
+    all_ = trusted.agg(*bounds()).first()  # three numbers
+    low = F.coalesce("low", F.lit(all_["low"]).cast("double"))
+    high = F.coalesce("new", F.lit(all_["new"]).cast("double"), "old", F.lit(all_["old"]).cast("double"))
+    judged_ = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return judged_.select(
         "doc_id",
         "lang",
         "perplexity",
