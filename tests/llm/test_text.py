@@ -1,6 +1,7 @@
 """The operators that read texts in Arrow batches, against brute force on small tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -128,6 +129,77 @@ def test_leaks_at_exactly_the_share_that_counts(spark):
     assert len(want) >= 64 and {k: found.get(k) for k in want} == want
 
 
+def test_masks_hit_whichever_words_are_replaced():
+    """Every pattern of replaced words, one by one, against what the search over states proves."""
+    for n in range(1, 18):
+        masks = decontamination.masks_for(n, 0.8)
+        assert n < 5 or all("0" in m for m in masks)
+        needed = decontamination.needed_words(n, 0.8)
+        for size in range(needed, n + 1):
+            may = min(size - needed, size // 5)
+            for gone in itertools.combinations(range(size), may):
+                there = [i not in gone for i in range(size)]
+                assert any(
+                    all(there[s + j] for j, c in enumerate(m) if c == "1") for m in masks for s in range(size - len(m) + 1)
+                ), (n, size, gone)
+    for masks in decontamination.MASKS:
+        fewest = decontamination.least_misses(masks, 11)
+        for size in range(12):
+            without = (
+                k
+                for k in range(size + 1)
+                for gone in itertools.combinations(range(size), k)
+                if not any(all(s + j not in gone for j, c in enumerate(m) if c == "1") for m in masks for s in range(size - len(m) + 1))
+            )
+            assert next(without) == fewest[size]
+
+
+@pytest.mark.parametrize("agree, least", [(0.5, 6), (0.9, 12)])
+def test_leaks_equal_brute_force(spark, agree, least):
+    """Replaced words, shares and least lengths of all kinds: the same pairs as every way to line up gives, no more."""
+    draw = random.Random(3)
+    items = [(n, [draw.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(n)]) for n in (3, 5, 9, 14, 21, 40)]
+    rows = [[w if draw.random() < share else "zz" for w in words] for _, words in items for share in (0.4, 0.6, 0.8, 0.85, 0.95) for _ in range(6)]
+    want = {}
+    for doc, there in enumerate(rows):
+        for n, words in items:
+            needed = decontamination.needed_words(n, agree, least)
+            most = 0
+            for shift in range(-n, len(there)):
+                same = [0 <= shift + i < len(there) and there[shift + i] == w for i, w in enumerate(words)]
+                for a in range(n):
+                    for b in range(a + 1, n + 1):
+                        if sum(same[a:b]) >= agree * (b - a) - 1e-9:
+                            most = max(most, sum(same[a:b]))
+            if most >= needed:
+                want[doc, n] = most
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    frame = documents(spark, [" ".join(r) for r in rows])
+    found = {(r.doc_id, r.item_id): r.matched for r in decontamination.leaks(frame, bench, agree, least, near_shift=0).collect()}
+    assert found == want and len(want) > 20
+
+
+def test_leaks_without_bounds_on_shifts(spark):
+    long = prose(100, 100).split()
+    bench = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    rows = [" ".join([*long[:50], *(f"new{i}" for i in range(12)), *long[50:]]), " ".join(["same"] * 300)]
+    assert [r.matched for r in decontamination.leaks(documents(spark, rows), bench).collect()] == [50]
+    free = decontamination.leaks(documents(spark, rows), bench, near_shift=None, window=None)
+    assert [(r.doc_id, r.matched) for r in free.collect()] == [(0, 100)]
+
+
+def test_a_long_item_does_not_lengthen_other_hits(spark, monkeypatch):
+    """Rows of hits carry words for the items that were hit, not for the longest of all."""
+    items = [(1, prose(1, 20)), (2, prose(2, 4000))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = documents(spark, [prose(3, 3000) + " " + items[0][1] + " " + prose(4, 3000)])
+    tables, write = {}, decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda table, name: tables.setdefault(name, write(table, name)))
+    pairs = decontamination.leaks(frame, bench).collect()
+    assert [(r.item_id, r.matched, r.start_word) for r in pairs] == [(1, 20, 3000)]
+    assert tables["hits"].selectExpr("max(size(words))").first()[0] <= 120
+
+
 def test_leaks_of_parts_and_shifted_words(spark):
     bench = spark.createDataFrame([(n, prose(n, n)) for n in (20, 100)], "item_id long, text string")
     short, long = prose(20, 20).split(), prose(100, 100).split()
