@@ -172,15 +172,22 @@ def search_summary(fact: DataFrame, watch: DataFrame) -> DataFrame:
     )
 
 
-def page(entries: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
+def page_order(collation: str | None = None) -> list[Column]:
+    """Highest version first, NULL keys last, then repositories: by code points, or by a collation and then code points."""
+    names = [] if collation is None else [F.asc(F.collate("repo_full_name", collation))]
+    return [F.desc_nulls_last("version_sort_key"), *names, F.asc("repo_full_name")]
+
+
+def page(entries: DataFrame, limit: int | None = None, offset: int | None = None, collation: str | None = None) -> DataFrame:
     """One page of repositories per package, highest version first, NULL keys last.
 
-    ``next_offset`` is NULL on the last page.
+    ``next_offset`` is NULL on the last page. ``collation`` orders the repositories of a version
+    as a locale does (``"UNICODE"``), without it they stand in binary order.
     """
     limit, offset = size_of(limit, DEFAULT_PAGE), size_of(offset, 0, 0)
     counts = entries.groupBy(*PACKAGE).agg(F.count("*").alias("entry_count"))
     ranked = top_per_group(
-        entries, PACKAGE, [F.desc_nulls_last("version_sort_key"), F.asc("repo_full_name")], limit, offset
+        entries, PACKAGE, page_order(collation), limit, offset
     )
     more = F.col("entry_count") > F.lit(offset + limit)
     slash = F.locate("/", F.col("repo_full_name"))
@@ -201,10 +208,10 @@ def page(entries: DataFrame, limit: int | None = None, offset: int | None = None
     )
 
 
-def page_one(entries: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
+def page_one(entries: DataFrame, limit: int | None = None, offset: int | None = None, collation: str | None = None) -> DataFrame:
     """The page of a single package's entries, by Spark's own sort, offset and limit."""
     return (
-        entries.orderBy(F.desc_nulls_last("version_sort_key"), F.asc("repo_full_name"))
+        entries.orderBy(*page_order(collation))
         .offset(size_of(offset, 0, 0))
         .limit(size_of(limit, DEFAULT_PAGE))
     )

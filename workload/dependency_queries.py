@@ -10,7 +10,7 @@ from bomatlas.functions.purl import package_key, with_purl_columns
 from bomatlas.functions.ranges import range_comparators
 from bomatlas.functions.text import percent_decode
 from bomatlas.functions.versions import is_range_or_wildcard, is_sha, with_version_columns
-from bomatlas.operators import compare, eol, exposure, landscape, listing, search, summaries, trends
+from bomatlas.operators import compare, eol, exposure, landscape, listing, pages, repo_sets, search, summaries, trends
 from bomatlas.operators.ranking import top_per_group
 from bomatlas.session import run_path
 from bomatlas.sources import refdata, sbom
@@ -484,6 +484,37 @@ def _(spark, d):
     return page.select("repo_full_name", "version_raw", F.row_number().over(order).cast("bigint").alias("pos"))
 
 
+# Repository names as people write them: some in capitals, some with an accent.
+_WRITTEN = "CASE ascii(right(repo_full_name, 1)) % 3 WHEN 0 THEN upper(repo_full_name) WHEN 1 THEN replace(repo_full_name, 'a', 'ä') ELSE repo_full_name END"
+
+
+@query(
+    "page_collated",
+    oracle(_WATCH + "SELECT ecosystem, package_key, repo_full_name, version, pos FROM (SELECT ecosystem, package_key, repo_full_name, "
+           "version_raw AS version, row_number() OVER (PARTITION BY ecosystem, package_key ORDER BY version_sort_key DESC NULLS LAST, "
+           f"repo_full_name COLLATE en, repo_full_name) AS pos FROM (SELECT * REPLACE ({_WRITTEN} AS repo_full_name) FROM rep) w) p WHERE pos <= 50"),
+)
+def _(spark, d):
+    rep = search.representative_versions(fx.index(spark, d).current).withColumn("repo_full_name", F.expr(_WRITTEN))
+    page = search.page(rep, limit=50, collation="UNICODE").withColumnRenamed("rank", "pos")
+    return page.select("ecosystem", "package_key", "repo_full_name", "version", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query(
+    "page_keyset",
+    oracle(_WATCH + "SELECT repo_full_name, version_raw, pos - 120 AS pos FROM (SELECT *, row_number() OVER (ORDER BY version_sort_key "
+           "DESC NULLS LAST, repo_full_name) AS pos FROM rep WHERE ecosystem = 'npm' AND package_key = 'express') r "
+           "WHERE pos > 120 AND pos <= 200"),
+)
+def _(spark, d):
+    path = run_path(spark, "pages")
+    pages.write_order(search.representative_versions(fx.index(spark, d).current), path)
+    first = pages.page_after(spark, path, "npm", "express", limit=120)
+    second = pages.page_after(spark, path, "npm", "express", pages.cursor_of(first), limit=80)
+    order = Window.partitionBy(F.lit(1)).orderBy(*search.page_order())  # 80 rows
+    return second.select("repo_full_name", "version_raw", F.row_number().over(order).cast("bigint").alias("pos"))
+
+
 # ---- summaries and lists ------------------------------------------------------------
 
 
@@ -998,6 +1029,43 @@ def _(spark, d):
     return changes.withColumn("ingested_date", F.col("ingested_date").cast("string"))
 
 
+def _repo_sets(spark, d):
+    """A store that got its last snapshot after the others."""
+    base, fact = run_path(spark, "repo_sets"), fx.index(spark, d).fact
+    newest = fact.agg(F.max("ingested_date")).scalar()
+    repo_sets.create(spark, base)
+    repo_sets.add_snapshots(spark, base, fact.where(F.col("ingested_date") < newest))
+    repo_sets.add_snapshots(spark, base, fact.where(F.col("ingested_date") == newest))
+    return repo_sets.read(spark, base)
+
+
+@query(
+    "agg_trend_snapshots_stored",
+    oracle(f"SELECT ecosystem, package_key, CAST(ingested_date AS VARCHAR) AS ingested_date, repo_count, repo_count - lag(repo_count) OVER "
+           f"(PARTITION BY ecosystem, package_key ORDER BY ingested_date) AS change FROM ({_SNAPSHOTS}) s"),
+)
+def _(spark, d):
+    changes = trends.with_changes(repo_sets.snapshots(_repo_sets(spark, d)))
+    return changes.withColumn("ingested_date", F.col("ingested_date").cast("string"))
+
+
+@query(
+    "agg_total_repos_stored",
+    oracle("SELECT ecosystem, package_key, count(DISTINCT repo_full_name) AS repo_count FROM fact GROUP BY ALL"),
+)
+def _(spark, d):
+    return repo_sets.distinct_repos(_repo_sets(spark, d), repo_sets.PACKAGE)
+
+
+@query(
+    "agg_repos_per_snapshot_stored",
+    oracle("SELECT ecosystem, CAST(ingested_date AS VARCHAR) AS ingested_date, count(DISTINCT repo_full_name) AS repo_count FROM fact GROUP BY ALL"),
+)
+def _(spark, d):
+    counted = repo_sets.distinct_repos(_repo_sets(spark, d), ["ecosystem", "ingested_date"])
+    return counted.withColumn("ingested_date", F.col("ingested_date").cast("string"))
+
+
 @query(
     "dependency_trends",
     oracle("SELECT ecosystem, package_key, snapshots, first_count, last_count, delta, CASE WHEN snapshots < 2 "
