@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ import __spark_entry__ as entry
 from bomatlas.functions import sql
 from bomatlas.functions.numbers import round_half_up
 from bomatlas.functions.purl import package_key
+from bomatlas.functions.ranges import VersionRangeError, _key, parse_version_range
 from bomatlas.operators import search
 from workload import fixture as fx
 
@@ -58,8 +61,38 @@ def test_no_cross_products_and_no_row_udf(spark, sf_dir, name):
         assert operator not in text
 
 
+def test_sql_ranges_agree_with_the_grammar(spark):
+    """Every range of a small alphabet, read by the SQL functions and by the grammar."""
+    sql.register(spark)
+    draw = random.Random(1)
+    texts = ["<2", ">=4 <5", "^3.17.0", "~2.10", "4.x", "=3.8.2", ">1, <=6.30", "1.2.3.4", "^0.0.3", "^0.1", "^0", "~1", "*", "1.2.3.x", "<2 || >3"]
+    texts += ["", " ", ",", "==1", ">^1", "99999999999999999999", "^99999999999.2", "1.0.0-beta", "v1", "00012.1", None, "1.2 <"]
+    texts += ["".join(draw.choice("0123.^~<>=x ,|") for _ in range(draw.randint(1, 9))) for _ in range(400)]
+
+    def grammar(text):
+        try:
+            return parse_version_range(text)
+        except VersionRangeError:
+            return None
+
+    keys = [_key(v) for v in ([2], [4, 0, 1], [0, 0, 3], [0, 1, 7], [3, 17, 2], [12, 1], [1, 2, 3, 4])]
+    want = {t: grammar(t) for t in texts}
+    rows = [(t, k) for t in want for k in keys]
+    frame = spark.createDataFrame(rows, "version_range string, version_sort_key string")
+    compare = {">=": str.__ge__, ">": str.__gt__, "<=": str.__le__, "<": str.__lt__, "=": str.__eq__}
+    for text, key, hit in frame.selectExpr("*", "satisfies(version_sort_key, version_range)").collect():
+        bounds = want[text]
+        assert hit == (None if bounds is None else all(compare[op](key, bound) for op, bound in bounds)), (text, key)
+    assert spark.sql("SELECT satisfies(NULL, '<2')").first()[0] is False
+    for text in ("<2", ">=4 <5", "~2.10", "4.x"):
+        found = spark.sql("SELECT * FROM parse_version_range(:text)", {"text": text}).collect()
+        assert [tuple(r) for r in found] == want[text]
+    with pytest.raises(Exception, match="unreadable version range"):
+        spark.sql("SELECT * FROM parse_version_range('<2 || >3')").collect()
+
+
 def test_sql_functions_agree_with_columns(spark):
-    assert sql.register(spark) == ["package_key", "is_copyleft", "rate_pct", "round_half_up"]
+    assert sql.register(spark) == ["package_key", "is_copyleft", "rate_pct", "satisfies", "parse_version_range", "round_half_up"]
     df = spark.createDataFrame(
         [("pypi", "A_.b", "AGPL-3.0", 1.005), ("npm", "A_b", "MIT", 2.5), ("npm", None, None, 0.0)],
         "ecosystem string, name string, lic string, x double",
