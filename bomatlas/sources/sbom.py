@@ -247,11 +247,14 @@ def to_fact(
     libraries: DataFrame,
     ingested_date: Column,
     layout: Callable[[DataFrame], DataFrame] | None = None,
+    purl_chars: int | None = MAX_PURL_CHARS,
+    version_chars: int | None = MAX_VERSION_CHARS,
 ) -> DataFrame:
     """The 20 columns of the fact table out of :func:`explode_libraries` rows.
 
     The component's own version wins over the one inside the purl, and is classified
-    whole before it is cut to the column width.
+    whole before it is cut to the column width. The widths are those of the published table;
+    versions that differ only behind them count as one there. None keeps whole texts.
 
     ``layout`` arranges the rows once the package columns are there and before versions
     are classified. A range layout reads its input twice, first for a sample, and moves
@@ -271,8 +274,9 @@ def to_fact(
         with_version_columns(parsed)
         .withColumns(
             {
-                "purl": F.substring("purl", 1, MAX_PURL_CHARS),
-                "version_raw": F.substring("version_raw", 1, MAX_VERSION_CHARS),
+                c: F.substring(c, 1, chars)
+                for c, chars in (("purl", purl_chars), ("version_raw", version_chars))
+                if chars is not None
             }
         )
         .select(*FACT_COLUMNS)

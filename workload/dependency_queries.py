@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bomatlas.functions import sql
 from bomatlas.functions.licences import is_copyleft
 from bomatlas.functions.purl import package_key, with_purl_columns
 from bomatlas.functions.ranges import range_comparators
@@ -168,6 +171,23 @@ def _(spark, d):
     return to_fact(libraries, F.lit("2025-01-01").cast("date")).select("repo_full_name", "purl", "version_raw")
 
 
+@query(
+    "fact_whole_columns",
+    "SELECT 'o/r' || doc_id AS repo_full_name, octet_length(encode('pkg:npm/x@' || text)) AS purl_bytes, md5(text) AS version_md5 FROM documents "
+    "WHERE text IS NOT NULL AND length(trim(text)) > 0",
+)
+def _(spark, d):
+    """The same texts without the published widths."""
+    name = F.concat(F.lit("o/r"), F.col("doc_id"))
+    libraries = fx.table(spark, d, "documents").where("length(trim(text)) > 0").select(
+        name.alias("repo_full_name"), F.lit("o").alias("org"), name.alias("repo"), F.lit(None).cast("string").alias("repo_url"),
+        F.lit(None).cast("timestamp").alias("pushed_at"), F.concat(F.lit("pkg:npm/x@"), "text").alias("purl"),
+        F.col("text").alias("version_raw"), F.lit(None).cast("string").alias("license_id"),
+    )
+    whole = to_fact(libraries, F.lit("2025-01-01").cast("date"), purl_chars=None, version_chars=None)
+    return whole.select("repo_full_name", F.octet_length("purl").cast("bigint").alias("purl_bytes"), F.md5("version_raw").alias("version_md5"))
+
+
 @query("flag_self_action", oracle("SELECT ecosystem, is_self_ref, is_action, count(*) AS n FROM fact GROUP BY ALL"))
 def _(spark, d):
     return fx.index(spark, d).fact.groupBy("ecosystem", "is_self_ref", "is_action").agg(F.count("*").alias("n"))
@@ -263,6 +283,22 @@ def _watch(spark, ix):
     return fx.watch_list(spark, ix.popularity)
 
 
+@query(
+    "satisfies_sql",
+    oracle(_WATCH + "SELECT k.ecosystem, k.package_key, k.version_sort_key FROM (SELECT DISTINCT ecosystem, package_key, version_sort_key FROM cur "
+           "WHERE version_sort_key IS NOT NULL) k JOIN watch w USING (ecosystem, package_key) WHERE (SELECT bool_and(CASE b.op "
+           "WHEN '<' THEN k.version_sort_key < b.key WHEN '<=' THEN k.version_sort_key <= b.key WHEN '>' THEN k.version_sort_key > b.key "
+           "WHEN '>=' THEN k.version_sort_key >= b.key ELSE k.version_sort_key = b.key END) FROM bounds b WHERE b.version_range = w.version_range)"),
+)
+def _(spark, d):
+    """Distinct versions inside the watched ranges, by the SQL function."""
+    sql.register(spark)
+    ix = fx.index(spark, d)
+    keys = ix.current.select("ecosystem", "package_key", "version_sort_key").distinct()
+    watched = keys.join(_watch(spark, ix).select("ecosystem", "package_key", "version_range"), ["ecosystem", "package_key"])
+    return watched.where(F.expr("satisfies(version_sort_key, version_range)")).drop("version_range")
+
+
 @query(
     "parse_version_range",
     oracle(_WATCH + "SELECT w.ecosystem, w.package_key, b.op, b.key FROM watch w JOIN bounds b USING (version_range)"),
@@ -502,16 +538,18 @@ def _(spark, d):
 
 @query(
     "page_keyset",
-    oracle(_WATCH + "SELECT repo_full_name, version_raw, pos - 120 AS pos FROM (SELECT *, row_number() OVER (ORDER BY version_sort_key "
-           "DESC NULLS LAST, repo_full_name) AS pos FROM rep WHERE ecosystem = 'npm' AND package_key = 'express') r "
-           "WHERE pos > 120 AND pos <= 200"),
+    oracle(_WATCH + "SELECT repo_full_name, version_raw, pos - 60 AS pos FROM (SELECT *, row_number() OVER (ORDER BY version_sort_key "
+           "DESC NULLS LAST, repo_full_name) AS pos FROM rep SEMI JOIN (SELECT ecosystem, package_key FROM popularity "
+           "ORDER BY repo_count DESC, ecosystem, package_key LIMIT 1) most USING (ecosystem, package_key)) r WHERE pos > 60 AND pos <= 100"),
 )
 def _(spark, d):
-    path = run_path(spark, "pages")
-    pages.write_order(search.representative_versions(fx.index(spark, d).current), path)
-    first = pages.page_after(spark, path, "npm", "express", limit=120)
-    second = pages.page_after(spark, path, "npm", "express", pages.cursor_of(first), limit=80)
-    order = Window.partitionBy(F.lit(1)).orderBy(*search.page_order())  # 80 rows
+    """The second page of the most used package."""
+    ix, path = fx.index(spark, d), run_path(spark, "pages")
+    pages.write_order(search.representative_versions(ix.current), path)
+    most = ix.popularity.orderBy(F.desc("repo_count"), "ecosystem", "package_key").select("ecosystem", "package_key").first()
+    first = pages.page_after(spark, path, *most, limit=60)
+    second = pages.page_after(spark, path, *most, pages.cursor_of(first), limit=40)
+    order = Window.partitionBy(F.lit(1)).orderBy(*search.page_order())  # 40 rows
     return second.select("repo_full_name", "version_raw", F.row_number().over(order).cast("bigint").alias("pos"))
 
 
@@ -929,6 +967,47 @@ def _(spark, d):
     return landscape.org_repo_count(rows).join(landscape.org_licence_summary(rows), "org").join(ecosystems, "org")
 
 
+_LARGEST = "SELECT org FROM cur GROUP BY org ORDER BY count(*) DESC, org LIMIT 1"
+
+
+@query(
+    "dependency_landscape_org",
+    oracle(_EOL + f", own AS (SELECT * FROM cur WHERE org = ({_LARGEST})) "
+           "SELECT 'repo_count' AS part, min(org) AS name, count(DISTINCT repo_full_name) AS n, NULL::BIGINT AS pos FROM own "
+           "UNION ALL SELECT 'ecosystems', ecosystem, count(*), NULL FROM own GROUP BY ecosystem "
+           "UNION ALL SELECT 'top_packages', ecosystem || ':' || package_name, repos, pos FROM (SELECT *, row_number() OVER (ORDER BY repos DESC, "
+           "ecosystem, package_name) AS pos FROM (SELECT ecosystem, package_name, count(DISTINCT repo_full_name) AS repos FROM own "
+           "WHERE ecosystem NOT IN ('github', 'githubactions') GROUP BY ALL) g) r WHERE pos <= 25 "
+           f"UNION ALL SELECT 'licence_summary', 'copyleft', count(*) FILTER ({_COPYLEFT}), NULL FROM own "
+           "UNION ALL SELECT 'licence_summary', 'unknown', count(*) FILTER (license_id IS NULL OR license_id IN ('NONE', 'NOASSERTION')), NULL FROM own "
+           "UNION ALL SELECT 'top_licences', licence, occurrences, pos FROM (SELECT *, row_number() OVER (ORDER BY occurrences DESC, licence) AS pos "
+           "FROM (SELECT coalesce(license_id, 'NONE') AS licence, count(*) AS occurrences FROM own GROUP BY 1) g) r WHERE pos <= 8 "
+           "UNION ALL SELECT 'eol_frameworks', min(f.package_name) || '@' || f.version_raw, count(DISTINCT f.repo_full_name), NULL FROM own f "
+           "JOIN products p USING (ecosystem, package_key) JOIN matched m ON m.product = p.product AND m.version_raw = f.version_raw "
+           "WHERE f.version_kind = 'release' AND m.is_eol GROUP BY f.ecosystem, f.package_key, f.version_raw, m.eol, m.product"),
+)
+def _(spark, d):
+    """All parts of the profile of the organisation with most dependencies."""
+    ix = fx.index(spark, d)
+    org = ix.by_repo.groupBy(F.split_part("repo_full_name", F.lit("/"), F.lit(1)).alias("org")).count().orderBy(F.desc("count"), "org").first()["org"]
+    parts = landscape.dependency_landscape(ix.by_repo, org, fx.eol_cycles(spark, d), as_of())
+    none = F.lit(None).cast("bigint")
+
+    def part(name, label, n, pos=none):
+        return parts[name].select(F.lit(name).alias("part"), label.alias("name"), F.col(n).cast("bigint").alias("n"), pos.cast("bigint").alias("pos"))
+
+    pieces = [
+        part("repo_count", F.col("org"), "repo_count"),
+        part("ecosystems", F.col("ecosystem"), "dependencies"),
+        part("top_packages", F.concat_ws(":", "ecosystem", "package_name"), "repos", F.col("rank")),
+        part("licence_summary", F.lit("copyleft"), "copyleft_occurrences"),
+        part("licence_summary", F.lit("unknown"), "unknown_or_missing"),
+        part("top_licences", F.col("licence"), "occurrences", F.col("rank")),
+        part("eol_frameworks", F.concat_ws("@", "package", "version"), "repos"),
+    ]
+    return reduce(DataFrame.unionByName, pieces)
+
+
 # ---- compare and trends -------------------------------------------------------------
 
 # Every repository against the next one of its organisation.
