@@ -538,18 +538,18 @@ def _(spark, d):
 
 @query(
     "page_keyset",
-    oracle(_WATCH + "SELECT repo_full_name, version_raw, pos - 60 AS pos FROM (SELECT *, row_number() OVER (ORDER BY version_sort_key "
+    oracle(_WATCH + "SELECT repo_full_name, version_raw, pos - 5 AS pos FROM (SELECT *, row_number() OVER (ORDER BY version_sort_key "
            "DESC NULLS LAST, repo_full_name) AS pos FROM rep SEMI JOIN (SELECT ecosystem, package_key FROM popularity "
-           "ORDER BY repo_count DESC, ecosystem, package_key LIMIT 1) most USING (ecosystem, package_key)) r WHERE pos > 60 AND pos <= 100"),
+           "ORDER BY repo_count DESC, ecosystem, package_key LIMIT 1) most USING (ecosystem, package_key)) r WHERE pos > 5 AND pos <= 25"),
 )
 def _(spark, d):
     """The second page of the most used package."""
     ix, path = fx.index(spark, d), run_path(spark, "pages")
     pages.write_order(search.representative_versions(ix.current), path)
     most = ix.popularity.orderBy(F.desc("repo_count"), "ecosystem", "package_key").select("ecosystem", "package_key").first()
-    first = pages.page_after(spark, path, *most, limit=60)
-    second = pages.page_after(spark, path, *most, pages.cursor_of(first), limit=40)
-    order = Window.partitionBy(F.lit(1)).orderBy(*search.page_order())  # 40 rows
+    first = pages.page_after(spark, path, *most, limit=5)
+    second = pages.page_after(spark, path, *most, pages.cursor_of(first), limit=20)
+    order = Window.partitionBy(F.lit(1)).orderBy(*search.page_order())  # 20 rows
     return second.select("repo_full_name", "version_raw", F.row_number().over(order).cast("bigint").alias("pos"))
 
 
