@@ -32,3 +32,27 @@ def test_first_repositories_come_from_many_files(uncoalesced, monkeypatch):
     found = entry.queries()["limit_first_n_repos"](uncoalesced, "none")
     assert len(found.inputFiles()) > 1
     assert [tuple(r) for r in found.collect()] == [(f"org/r{i}", 1 + i % 3) for i in range(100)]
+
+
+def test_repositories_are_looked_up_without_sorting(spark):
+    from bomatlas.session import apply_settings
+    from bomatlas.sources.sbom import join_repo_metadata
+
+    apply_settings(spark)
+    named = spark.range(0, 5000, 1, 4).selectExpr("concat('Org/R', id % 70) AS repo_full_name", "CAST(NULL AS string) AS _vcs")
+    feed = spark.range(60).selectExpr("concat('org/r', id) AS repo_key", "timestamp_seconds(id) AS pushed_at", "concat('u', id) AS repo_url")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = join_repo_metadata(named, feed)
+        counts = found.groupBy().agg(F.count("*").alias("n"), F.count("repo_url").alias("known"))
+        assert tuple(counts.collect()[0]) == (5000, sum(i % 70 < 60 for i in range(5000)))
+        final = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ShuffledHashJoin" in final and "SortMergeJoin" not in final
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_land_where_they_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(fx, "derive", lambda spark, d, text: spark.range(0, 3000, 1, 3))
+    landed = fx.lines(spark, "made here")
+    assert len(landed.inputFiles()) == 3 and landed.count() == 3000
