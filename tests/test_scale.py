@@ -1,9 +1,12 @@
 """Steps that hold no whole table in one task, on rows made here."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from bomatlas.sources import sbom
 from workload import fixture as fx
 
 
@@ -56,3 +59,12 @@ def test_lines_land_where_they_are_joined(spark, monkeypatch):
     monkeypatch.setattr(fx, "derive", lambda spark, d, text: spark.range(0, 3000, 1, 3))
     landed = fx.lines(spark, "made here")
     assert len(landed.inputFiles()) == 3 and landed.count() == 3000
+
+
+def test_documents_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fx, "components", lambda spark, d: _components(spark, 300))
+    path = fx.published_document(spark, "made here")
+    files = [r.value for r in spark.read.text(path, wholetext=True).collect()]
+    assert len(files) == 6 and all(json.loads(text)["bomFormat"] == "CycloneDX" for text in files)
+    found = sbom.read_aggregate(spark, path, "document", range_bytes=1000).select("name", F.size("components"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"org/r{i}", 1 + i % 3) for i in range(300))
