@@ -73,9 +73,10 @@ def add_snapshots(spark: SparkSession, base: str, fact: DataFrame, list_most: in
     Rows without a repository, package or date count nowhere. Other dates are neither read nor
     written. Repeated rows count once.
     """
-    known = fact.select(*PACKAGE, "ingested_date", "repo_full_name").dropna().distinct()
+    known = fact.select(*PACKAGE, "ingested_date", "repo_full_name").dropna()
+    # Names alone move here; pairs of package and repository need no look for it.
     _number_new(spark, base, known)
-    numbered = known.join(numbers(spark, base), "repo_full_name")
+    numbered = known.distinct().join(numbers(spark, base), "repo_full_name")
     spots = numbered.select(
         *PACKAGE, "ingested_date", F.floor(F.col("number") / BLOCK).alias("block"), F.pmod("number", F.lit(BLOCK)).cast("int").alias("spot")
     )
