@@ -88,3 +88,20 @@ def test_repositories_are_numbered_from_names_alone(spark, monkeypatch):
     assert "Aggregate" not in asked[0]
     found = repo_sets.distinct_repos(repo_sets.read(spark, base), repo_sets.PACKAGE).collect()
     assert sorted(tuple(r) for r in found) == [("npm", f"p{i}", 7) for i in range(3)]
+
+
+def test_words_are_counted_some_at_a_time(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from bomatlas.operators import lexical_index
+
+    monkeypatch.setattr(lexical_index, "WORDS_AT_ONCE", 50, raising=False)
+    texts = [["a", "b", "a"], [], ["b"] * 120 + ["c"], [], *[[f"w{i % 5}"] * 7 for i in range(40)], []]
+    whole = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.list_(pa.string()))], names=["doc_id", "words"])
+    # Cut out of a larger batch, as they come.
+    found = list(lexical_index._count_words([whole.slice(1), whole.slice(0, 1)]))
+    assert max(sum(b.column("tf").to_pylist()) for b in found if b.num_rows > 2) <= 50
+    got = sorted((r["doc_id"], r["word"], r["tf"], r["length"]) for b in found for r in b.to_pylist())
+    assert got == sorted((i, w, n, len(t)) for i, t in enumerate(texts) for w, n in Counter(t).items())
