@@ -72,3 +72,52 @@ def test_exposure_of_a_crowded_package(spark):
     for direct in (0, 10):
         rows = [tuple(r) for r in exposure.exposed(ids, advisories, direct=direct).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == all_direct
+
+
+ADVISORY = (
+    "id string, aliases array<string>, summary string, details string, severity array<struct<type: string, score: string>>, database_specific struct<severity: string>, "
+    "affected array<struct<package: struct<ecosystem: string, name: string>, ranges: array<struct<type: string, events: array<struct<introduced: string, fixed: string, last_affected: string>>>>, versions: array<string>>>"
+)
+
+
+def test_merged_ranks(spark):
+    rows = [(1, 0, 3), (1, 2, 5), (1, 5, 6), (1, 8, 9), (1, 0, 3), (1, 1, 2), (2, 4, 5), (None, 1, 2), (None, 0, 4)]
+    found = intervals.merged(spark.createDataFrame(rows, "g int, _from long, _to long"), ["g"]).collect()
+    assert {tuple(r) for r in found} == {(1, 0, 6), (1, 8, 9), (2, 4, 5), (None, 0, 4)} and len(found) == 4
+
+
+def test_many_advisories_of_many_versions_are_paired_last(spark):
+    """Every advisory affects every version: the join makes the pairs, what it reads is far less and no place is large."""
+    n = 600
+    ids = spark.range(n).select(
+        F.lit("npm").alias("ecosystem"), F.lit("busy").alias("package_key"), F.concat(F.lit("1."), F.col("id").cast("string")).alias("version_raw"),
+        F.format_string("%06d", "id").alias("version_sort_key"),
+    )
+    ids = ids.unionByName(ids.limit(3)).unionByName(spark.createDataFrame([("npm", "busy", "listed", None)], "ecosystem string, package_key string, version_raw string, version_sort_key string"))
+    # Open ranges twice over, and a listed version without a key.
+    events = [[("0", None, None)], [("0", None, None), (None, "9999999999.0.0", None)]]
+    schema_rows = [(f"A{i}", [], "s", "d", None, None, [(("npm", "busy"), [("SEMVER", e) for e in events], ["listed", "1.7", "unused"])]) for i in range(n)]
+    advisories = spark.createDataFrame(schema_rows, ADVISORY)
+    for direct in (0, 64):
+        versions, spans = exposure.meetings(ids, advisories, direct)
+        assert versions.count() + spans.count() < 60 * n
+        assert spans.groupBy(*exposure.PLACE).count().agg(F.max("count")).first()[0] <= 2 * exposure.SPANS_AT_ONCE
+        hits = exposure.exposed(ids, advisories, direct)
+        assert hits.count() == hits.distinct().count() == n * (n + 1)
+
+
+def test_findings_move_no_pair(spark):
+    """Nothing is dealt again above the join that makes the findings."""
+    fact = spark.createDataFrame(
+        [(f"o/r{i % 4}", "npm", "busy", "Busy", f"{i % 9}.0.0", f"{i % 9}", "release") for i in range(40)],
+        "repo_full_name string, ecosystem string, package_key string, package_name string, version_raw string, version_sort_key string, version_kind string",
+    )
+    advisories = spark.createDataFrame(
+        [("A1", [], "s", "d", None, None, [(("npm", "busy"), [("SEMVER", [("0", None, None)])], ["3.0.0"])])] * 2, ADVISORY
+    )
+    found = exposure.findings(fact, advisories, ["repo_full_name"])
+    assert found.count() == 2 * fact.select("repo_full_name", "version_raw").distinct().count()
+    lines = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(lines) if "Join" in line]
+    assert not [line for line in lines[: joins[0]] if "Exchange" in line or "Aggregate" in line]
+    assert "_slice" in lines[joins[0]]
