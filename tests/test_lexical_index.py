@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from bomatlas.functions.documents import tokens
 from bomatlas.operators import lexical_index, retrieval
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -91,3 +92,30 @@ def test_common_word_is_spread(spark, index):
     sizes = index.blocks.select("word", F.size("postings").alias("n"))
     assert sizes.agg(F.max("n")).first()[0] <= 16
     assert sizes.where("word = 'w1'").count() > 20
+
+
+def test_raw_texts_add_up_where_their_words_stand(spark, monkeypatch):
+    """Repeated and null ids, several blocks of everything: the sums of an outright join; no pair of query and document moves."""
+    for name, size in (("DOCUMENTS_PER_BLOCK", 7), ("QUERIES_PER_BLOCK", 3), ("WORDS_PER_BLOCK", 4)):
+        monkeypatch.setattr(retrieval, name, size)
+    texts = [" ".join(f"w{(i * k + k) % 23}" for k in range(1 + i % 9)) + " the" * (i % 4) for i in range(60)]
+    rows = [(i if i % 11 else None, t) for i, t in enumerate(texts)] + [(5, texts[5]), (5, "the other"), (6, None), (7, ""), (80, texts[8]), (81, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(i if i else None, f"the w{i} w{i + 1} w{i * 2}") for i in range(9)] + [(4, "the w9"), (9, "unknown"), (10, None)], "query_id long, text string")
+    found = retrieval.retrieve_lexical(docs, queries, 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(query_id" in line and "doc_id" in line.split("hashpartitioning")[1].split(")")[0]]
+
+    corpus = docs.where("text is not null").select("doc_id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
+    total, average = corpus.agg(F.count("*").cast("double"), F.avg("length")).first()
+    postings = corpus.select("doc_id", "length", F.explode("words").alias("word")).groupBy("word", "doc_id", "length").agg(F.count("*").alias("tf"))
+    df = postings.groupBy("word").agg(F.count("*").alias("df"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    share = lexical_index.part(lexical_index.rarity(F.lit(total), F.col("df")), F.col("tf"), F.col("length"), F.lit(average))
+    sums = asked.join(postings, "word").join(df, "word").groupBy("query_id", "doc_id").agg(F.sum(share).cast("long").alias("score")).where("score > 0").collect()
+    expected = set()
+    for query in {r.query_id for r in sums}:
+        best = sorted((r for r in sums if r.query_id == query), key=lambda r: (-r.score, r.doc_id is not None, r.doc_id))[:6]
+        expected |= {(query, r.doc_id, r.score, i + 1) for i, r in enumerate(best)}
+    got = [(r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
