@@ -3,6 +3,8 @@
 Each task first shrinks its own edges to a spanning forest of stars (smallest node in the
 middle), then alternating large-star and small-star steps join the stars across tasks. Rows
 never exceed the edges given, and the number of rounds grows with the logarithm of the nodes.
+As soon as the edges left are few enough for a task of bounded size, one task joins them: a
+round is six shuffles, whose tasks cost the driver more than such a remainder is worth.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from bomatlas.llm.common import stored
 from bomatlas.llm.tokens import gathered
 
+#: Edges that one task joins (16 MB of numbers); more are joined in rounds across tasks.
+EDGES_AT_ONCE = 1 << 20
+
 
 def roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """The smallest node reachable from each of the nodes 0 to n - 1."""
@@ -60,7 +65,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node, component`` (its smallest node) for every node on an edge; ``edges``: longs ``u, v``."""
     edges = edges.select("u", "v").where("u <> v")
     stars = stored(edges.mapInArrow(_stars, "u long, v long").distinct(), name)
-    while not _settled(stars):
+    while (few := stars.count() <= EDGES_AT_ONCE) or not _settled(stars):
+        if few:
+            stars = stored(stars.coalesce(1).mapInArrow(_stars, "u long, v long"), name)
+            break
         # Large star: larger neighbours move to the smallest of a node's neighbourhood.
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))

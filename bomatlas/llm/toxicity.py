@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bomatlas.llm.common import stored
 from bomatlas.llm.tokens import Powers, Words, bytes_and_offsets, mix, slices, words_of
 
 SLOT_BITS = 22
@@ -108,7 +109,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     texts = documents.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
     features = texts.mapInArrow(_features, "doc_id long, toxic int, slots binary")
     # The slots of a bounded number of rows meet in one task; they are found in many.
-    learned = features.repartition(1).mapInArrow(_learn, "slot int, weight double").toArrow()
+    # Written first, as whole texts then travel to Python in small batches.
+    learned = stored(features.repartition(1).mapInArrow(_learn, "slot int, weight double"), "weights").toArrow()
     return learned.column("slot").to_numpy(), learned.column("weight").to_numpy()
 
 

@@ -70,6 +70,20 @@ def test_components(spark):
     assert components.components(frame.limit(0)).count() == 0
 
 
+def test_components_finish_small_graphs_at_once(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (501, 500)], "u long, v long").repartition(16)
+    want = {i: 0 for i in range(301)} | {500: 500, 501: 500}
+    written, stored = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda rows, name: written.append(name) or stored(rows, name))
+    found = lambda: {r.node: r.component for r in components.components(frame).collect()}
+    assert found() == want
+    assert len(written) == 2  # no round of shuffles
+    # More edges than one task may hold are joined in rounds.
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", 100)
+    assert found() == want
+    assert len(written) > 4
+
+
 # Decontamination
 
 
