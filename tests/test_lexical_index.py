@@ -119,3 +119,36 @@ def test_raw_texts_add_up_where_their_words_stand(spark, monkeypatch):
         expected |= {(query, r.doc_id, r.score, i + 1) for i, r in enumerate(best)}
     got = [(r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_index_from_packages_is_that_of_plain_rows(spark, tmp_path, monkeypatch):
+    """Everything cut small: words as `tokens` splits them, blocks as an aggregation over single postings gives them."""
+    for name, size in (("DOCUMENTS_PER_SLICE", 5), ("POSTINGS_AT_ONCE", 9), ("BLOCKS_AT_ONCE", 2), ("TEXT_AT_ONCE", 40), ("WORDS_AT_ONCE", 8)):
+        monkeypatch.setattr(lexical_index, name, size)
+    odd = ["İstanbul ΣΑΣ ς ﬁ ß ǅ", "é ẍy ٠١ Ⅷ ² ½ ①", "漢字かな 한글 𝔘𝟘 😀a😀b", "a\x00b c‍d_e-f", "naïve", "naïve", "x" * 300 + " é", " ﻿", "", "A9 a9 A"]
+    rows = [(i * 7 - 30, t) for i, t in enumerate(odd * 2)] + [(40, "a9 naïve"), (41, None), (None, "a9")]
+    raw = spark.createDataFrame([(500, bytearray(b"caf\xe9 au lait")), (501, bytearray(b"\xe9\xa0")), (502, bytearray(b"\xa0b"))], "doc_id long, text binary")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(raw.withColumn("text", F.col("text").cast("string"))).repartition(3)
+    index = lexical_index.build(docs, f"{tmp_path}/small", range_ids=16, buckets=3)
+
+    words = docs.where("text is not null and doc_id is not null").select("doc_id", tokens("text").alias("words")).withColumn("length", F.size("words"))
+    total, average = words.agg(F.count("*"), F.avg("length")).first()
+    assert (index.total, index.average) == (total, pytest.approx(average))
+    postings = words.select("doc_id", "length", F.explode("words").alias("word")).groupBy("word", "doc_id", "length").agg(F.count("*").alias("tf"))
+    expected = postings.groupBy("word", F.floor(F.col("doc_id") / 16).alias("range")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("postings"))
+    plain = {(r.word, r.range): [tuple(p) for p in r.postings] for r in expected.collect()}
+    found = index.blocks.collect()
+    assert len(found) == len(plain) and {(r.word, r.range): [tuple(p) for p in r.postings] for r in found} == plain
+    for r in found:
+        weights = [tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average)) for _, tf, length in r.postings]
+        assert r.peak == pytest.approx(max(weights))
+    df = {r.word: r.df for r in index.words.collect()}
+    assert df == {w: sum(len(p) for (v, _), p in plain.items() if v == w) for w, _ in plain}
+    # Each word is in the bucket that a search looks it up in.
+    assert index.words.where(F.col("bucket") != lexical_index._bucket(3)).count() == index.blocks.where(F.col("bucket") != lexical_index._bucket(3)).count() == 0
+
+
+def test_index_of_another_hash_is_refused(spark, tmp_path):
+    spark.createDataFrame([(1.0, 1.0, 3)], "total double, average double, buckets int").write.parquet(f"{tmp_path}/old/totals")
+    with pytest.raises(ValueError, match="build it again"):
+        lexical_index.open_index(spark, f"{tmp_path}/old")
