@@ -389,3 +389,26 @@ def test_ingest_statistics(spark):
     assert got["c"].average_time_seconds == 0.0
     none = ingest_stats.upload_stats(spark.createDataFrame([], "success boolean, bytes bigint")).first()
     assert (none.total_uploaded, none.total_bytes, none.success_rate) == (0, 0, 0.0)
+
+
+def test_build_stats_name_ecosystems_and_kinds(spark):
+    """Everything a build reports: rows per ecosystem and version kind beside the totals, the eight largest ecosystems first."""
+    from bomatlas.operators import summaries
+
+    rows = [(f"o/r{i % 4}", f"eco{k}", "release" if i % 3 else "range", i % 3 > 0) for k in range(10) for i in range(1 + (k * 7) % 10)]
+    fact = spark.createDataFrame(rows, "repo_full_name string, ecosystem string, version_kind string, comparable boolean")
+    stats = summaries.build_stats(fact).collect()
+    assert len(stats) == 1
+    row = stats[0]
+
+    def listed(at):
+        counts = {}
+        for r in rows:
+            counts[r[at]] = counts.get(r[at], 0) + 1
+        return sorted(((name, n) for name, n in counts.items()), key=lambda p: (-p[1], p[0]))
+
+    good = sum(r[3] for r in rows)
+    assert (row.rows, row.repos, row.comparable) == (len(rows), 4, good) and abs(row.comparable_pct - 100 * good / len(rows)) <= 0.05
+    assert [tuple(e) for e in row.ecosystems] == listed(1) and len(row.ecosystems) == 10
+    assert [tuple(e) for e in row.kinds] == listed(2)
+    assert [tuple(e) for e in row.top_ecosystems] == listed(1)[:8]
