@@ -173,6 +173,26 @@ def test_partition_replacement_and_retention(spark, tmp_path):
     assert tables.read_fact(spark, path).count() == 2
 
 
+def test_snapshots_are_written_some_at_a_time(spark, tmp_path):
+    rows = [(f"o/{d}{i}", "pkg:npm/x@1.0.0", f"2025-0{d}-01") for d, n in ((1, 3), (2, 1), (3, 1), (4, 5), (5, 1)) for i in range(n)]
+    fact = fact_row(spark, rows)
+    groups = tables.dates_at_once(fact, 3)
+    assert [[str(d) for d in g] for g in groups] == [["2025-01-01"], ["2025-02-01", "2025-03-01"], ["2025-04-01"], ["2025-05-01"]]
+    assert len(tables.dates_at_once(fact)) == 1 and tables.dates_at_once(fact.where("false")) == []
+    assert [len(g) for g in tables.dates_at_once(fact, 100, F.sum(F.lit(50)))] == [1, 2, 1, 1]
+    for _ in range(2):
+        tables.write_snapshot(fact, str(tmp_path / "some"), dates=groups)
+    tables.write_snapshot(fact, str(tmp_path / "all"))
+    some, whole = (sorted(map(tuple, tables.read_fact(spark, str(tmp_path / n)).collect())) for n in ("some", "all"))
+    assert len(some) == 11 and some == whole
+    # Rows without a date are not passed over: the table refuses them.
+    dateless = fact.withColumn("ingested_date", F.when(F.col("repo") != "40", F.col("ingested_date")))
+    groups = tables.dates_at_once(dateless, 3)
+    assert groups[0][0] is None
+    with pytest.raises(Exception, match="NULL in a required column"):
+        tables.write_snapshot(dateless, str(tmp_path / "none"), dates=groups)
+
+
 def test_schema_is_enforced(spark, tmp_path):
     fact = fact_row(spark, [("o/a", "pkg:npm/x@1.0.0", "2025-01-01")])
     with pytest.raises(ValueError):
