@@ -106,6 +106,27 @@ def test_many_advisories_of_many_versions_are_paired_last(spark):
         assert hits.count() == hits.distinct().count() == n * (n + 1)
 
 
+def test_advisories_are_counted_without_pairs(spark):
+    """Each of a package's versions has all its advisories; the counts read a few places, and no join makes the pairs."""
+    n = 500
+    ids = spark.range(n).select(
+        F.lit("npm").alias("ecosystem"), F.lit("busy").alias("package_key"), F.concat(F.lit("1."), F.col("id").cast("string")).alias("version_raw"),
+        F.format_string("%06d", "id").alias("version_sort_key"),
+    )
+    ids = ids.unionByName(ids.limit(2)).unionByName(spark.createDataFrame([("npm", "busy", "listed", None), ("npm", "idle", "1.1", "1")], "ecosystem string, package_key string, version_raw string, version_sort_key string"))
+    events = [[("0", None, None)], [("0", None, None), (None, "9999999999.0.0", None)]]
+    rows = [(f"A{i}", [], "s", "d", None, None, [(("npm", "busy"), [("SEMVER", e) for e in events], ["listed"] if i % 2 else ["1.3"])]) for i in range(n)]
+    advisories = spark.createDataFrame(rows + rows[:5], ADVISORY)
+    for direct in (0, 64):
+        found = exposure.advisory_counts(ids, advisories, direct)
+        got = sorted(map(tuple, found.collect()))
+        pairs = exposure.exposed(ids, advisories, direct).groupBy(*exposure.IDENTITY).agg(F.count("*"), F.min("id"))
+        assert got == sorted(map(tuple, pairs.collect())) and len(got) == n + 1
+        points, nodes = exposure._places(ids, advisories, direct)
+        assert nodes.select("_level", "_node").distinct().count() < 100
+        assert exposure.point_nodes(points, ["ecosystem", "package_key"]).count() < 12 * n
+
+
 def test_findings_move_no_pair(spark):
     """Nothing is dealt again above the join that makes the findings."""
     fact = spark.createDataFrame(
